@@ -204,3 +204,44 @@ def exact_percentiles(df: DataFrame, keys: list[str], value: str, fractions: lis
             .alias("value"),
         )
     )
+
+
+def value_ranks(df: DataFrame, keys: list[str], value: str, splits: int = 32) -> DataFrame:
+    """Rows per distinct value with the number of rows below it: ``keys, value, copies, below``.
+
+    Equal values collapse before the shuffle; the distinct values of a large key
+    are cut at sketch quantiles so that no task orders a whole key.
+    """
+    marks = [i / splits for i in range(1, splits)]
+    cuts = df.groupBy(*keys).agg(F.percentile_approx(value, marks, 1000).alias("_cuts"))
+    counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("copies"))
+    x = F.col(value)
+    placed = counted.join(cuts, keys).withColumn("_slice", F.size(F.filter("_cuts", lambda c: c < x))).drop("_cuts")
+    groups = [*keys, "_slice"]
+    earlier = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    base = placed.groupBy(*groups).agg(F.sum("copies").alias("_n")).select(
+        *groups, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_base")
+    )
+    inner = Window.partitionBy(*groups).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    return (
+        placed.withColumn("_before", F.coalesce(F.sum("copies").over(inner), F.lit(0)))
+        .join(base, groups)
+        .select(*keys, value, "copies", (F.col("_base") + F.col("_before")).alias("below"))
+    )
+
+
+def previous_row(df: DataFrame, key: str, order: list[str], values: list[str], *, width: int = DAY) -> DataFrame:
+    """``lag`` for keys of any size: adds ``prev`` (struct of ``values``) from the row before in ``order``."""
+    groups = [key, "_bucket"]
+    rows = df.withColumn("_bucket", bucket_of(F.col(order[0]), width))
+    inner = Window.partitionBy(*groups).orderBy(*order)
+    earlier = Window.partitionBy(key).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    tail = rows.groupBy(*groups).agg(F.max(F.struct(*order, F.struct(*values).alias("_v"))).alias("_t")).select(
+        *groups, F.last("_t._v").over(earlier).alias("_carry")
+    )
+    return (
+        rows.withColumn("_lag", F.lag(F.struct(*values)).over(inner))
+        .join(tail, groups)
+        .withColumn("prev", F.coalesce("_lag", "_carry"))
+        .drop("_bucket", "_lag", "_carry")
+    )
