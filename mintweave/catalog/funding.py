@@ -13,6 +13,8 @@ from mintweave.operators import tape as T
 from mintweave.session import cut
 from mintweave.sources import bindings as B
 
+# The data's time unit is a day, so a day-wide bucket of the as-of join spans half a year here.
+WIDTH = 180 * B.DAY
 KEYWORDS = "CASE " + " ".join(
     f"WHEN regexp_matches(lower({{x}}), '{'|'.join(w.replace('.', '[.]') for w in words)}') THEN '{kind}'" for kind, words in S.LABEL_KEYWORDS
 ) + " END"
@@ -127,21 +129,21 @@ funding AS (SELECT f.mint, f.wallet, f.signature AS buy_signature, f.fee_payer,
 
 @query("asof_funding", "tape_c", "transfers", sql=f"WITH {FUNDING} SELECT mint, wallet, direct_funder, funding_amount, funding_time, funding_signature, funding_to_buy_seconds, observed FROM funding")
 def _(spark, sf):
-    out = M.asof_funding(T.first_buys(B.tape_c(spark, sf)), B.transfers(spark, sf))
+    out = M.asof_funding(T.first_buys(B.tape_c(spark, sf)), B.transfers(spark, sf), width=WIDTH)
     return out.select("mint", "wallet", "direct_funder", "funding_amount", "funding_time", "funding_signature", "funding_to_buy_seconds", "observed")
 
 
 @query("asof_funding_lookback", "tape_c", "transfers", "wallet_tx", sql=f"""
-WITH {FIRST}, ins AS (SELECT DISTINCT recipient, signature FROM transfers WHERE source < 'S5'),
+WITH {FIRST}, ins AS (SELECT DISTINCT recipient, signature FROM transfers WHERE amount > 150000),
 rows_ AS (SELECT address AS wallet, w.signature, block_time, slot, TRUE AS keep FROM wallet_tx w WHERE err IS NULL OR (address, w.signature) IN (SELECT (recipient, signature) FROM ins)),
 tx AS (SELECT wallet, signature, block_time, NULL AS source FROM rows_ WHERE (wallet, signature) NOT IN (SELECT (recipient, signature) FROM ins)
- UNION ALL SELECT recipient, signature, block_time, source FROM transfers WHERE source < 'S5'),
+ UNION ALL SELECT recipient, signature, block_time, source FROM transfers WHERE amount > 150000),
 ranked AS (SELECT f.mint, f.wallet, tx.source, tx.signature, tx.block_time, row_number() OVER (PARTITION BY f.mint, f.wallet ORDER BY tx.block_time DESC, tx.signature DESC, tx.source DESC NULLS LAST) AS r
  FROM first_buys f JOIN tx ON tx.wallet = f.wallet AND tx.block_time < f.block_time),
 hit AS (SELECT *, row_number() OVER (PARTITION BY mint, wallet ORDER BY r) AS k FROM ranked WHERE r <= 3 AND source IS NOT NULL)
 SELECT f.mint, f.wallet, hit.source AS direct_funder, hit.signature AS funding_signature FROM first_buys f LEFT JOIN hit ON hit.mint = f.mint AND hit.wallet = f.wallet AND k = 1""")
 def _(spark, sf):
-    some = B.transfers(spark, sf).filter("source < 'S5'")
+    some = B.transfers(spark, sf).filter("amount > 150000")
     out = M.asof_funding(T.first_buys(B.tape_c(spark, sf)), some, B.wallet_tx(spark, sf), lookback=3)
     return out.select("mint", "wallet", "direct_funder", "funding_signature")
 
@@ -159,13 +161,13 @@ def _(spark, sf):
 
 
 def funded(spark, sf):
-    return cut(M.asof_funding(T.first_buys(B.tape_c(spark, sf)), B.transfers(spark, sf)), "funding")
+    return cut(M.asof_funding(T.first_buys(B.tape_c(spark, sf)), B.transfers(spark, sf), width=WIDTH), "funding")
 
 
-def paths(spark, sf, causal=True):
-    f = funded(spark, sf)
+def paths(spark, sf, causal=True, f=None):
+    f = funded(spark, sf) if f is None else f
     judged = M.assess_sources(M.funder_members(f), B.entities(spark, sf), scope="mint", fanout_threshold=4)
-    return M.funding_paths(f, B.transfers(spark, sf), judged, scope="mint", causal=causal)
+    return M.funding_paths(f, B.transfers(spark, sf), judged, scope="mint", causal=causal, width=WIDTH)
 
 
 JUDGED = f"""fan AS (SELECT mint, direct_funder AS source, count(DISTINCT wallet) AS n FROM funding WHERE direct_funder IS NOT NULL GROUP BY ALL),

@@ -37,7 +37,7 @@ def _finding(rows: DataFrame, code: str, item: Column, wallets: Column, signatur
 
 
 def _wallets() -> Column:
-    return F.array_sort(F.collect_set("wallet")).alias("wallets")
+    return F.array_sort(F.collect_set(F.col("wallet").cast("string"))).alias("wallets")
 
 
 def _signatures(column: str = "funding_signature", n: int | None = None) -> Column:

@@ -74,7 +74,8 @@ def bundle_score(rows: DataFrame) -> DataFrame:
 
 def top_contributions(scored: DataFrame, n: int = 8) -> DataFrame:
     """The ``n`` largest contributions per cluster, one row each."""
-    rows = scored.select("mint", "cluster_id", F.posexplode("contributions").alias("_i", "_c")).filter("_c.points > 0")
+    # The outer form keeps the planner from copying the whole score expression into a size filter.
+    rows = scored.select("mint", "cluster_id", F.posexplode_outer("contributions").alias("_i", "_c")).filter("_c.points > 0")
     w = Window.partitionBy("mint", "cluster_id").orderBy(F.col("_c.points").desc(), "_i")
     return rows.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n).select("mint", "cluster_id", "rank", "_c.name", "_c.label", "_c.points", "_c.max_points")
 
