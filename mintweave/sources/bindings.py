@@ -86,7 +86,8 @@ def tape_b(spark: SparkSession, sf: str) -> DataFrame:
 
 def tape_c(spark: SparkSession, sf: str) -> DataFrame:
     """Launch = part, wallet = customer; meets ``transfers``."""
-    return _tape(spark, sf, F.col("l_partkey"), F.concat(F.lit("C"), F.col("o_custkey").cast("string")))
+    customer = F.concat(F.lit("C"), F.col("o_custkey").cast("string"))
+    return _tape(spark, sf, F.col("l_partkey"), customer).withColumn("fee_payer", F.col("wallet"))
 
 
 def tape_s(spark: SparkSession, sf: str) -> DataFrame:
@@ -336,7 +337,9 @@ _HOLDERS_SQL = """holders AS (
 SQL = {
     "tape_l": _TAPE_SQL.format(name="tape", mint="l_partkey", wallet="l_suppkey", extra=""),
     "tape_b": _TAPE_SQL.format(name="tape", mint="p_brand", wallet="l_suppkey", extra="JOIN part ON l_partkey = p_partkey"),
-    "tape_c": _TAPE_SQL.format(name="tape", mint="l_partkey", wallet="'C' || o_custkey", extra=""),
+    "tape_c": _TAPE_SQL.format(name="tape", mint="l_partkey", wallet="'C' || o_custkey", extra="").replace(
+        "o_custkey AS fee_payer", "'C' || o_custkey AS fee_payer"
+    ),
     "tape_s": _TAPE_SQL.format(name="tape", mint="l_partkey", wallet="'S' || l_suppkey", extra="").replace(
         "o_custkey AS fee_payer", "'C' || o_custkey AS fee_payer"
     ),
