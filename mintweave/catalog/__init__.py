@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from mintweave.catalog import funding, graph, scoring, store, tape, wallets  # noqa: F401
+from mintweave.catalog import flows, funding, graph, scoring, store, tape, wallets  # noqa: F401
 from mintweave.catalog.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES", "flagship"]
