@@ -146,7 +146,8 @@ def _(spark, sf):
 def _(spark, sf):
     docs = B.table(spark, sf, "documents").select(F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("id"), "text")
     talk = B.table(spark, sf, "conversations").select(F.concat_ws("-", F.lit("conv"), F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"), "text")
-    return X.extract_addresses(docs.unionByName(talk), "id", "text")
+    found = X.address_candidates(docs.unionByName(talk), "id", "text")
+    return found.withColumn("valid", X.base58_valid(F.col("address")))
 
 
 # --- summaries --------------------------------------------------------------------------------------------
@@ -156,8 +157,8 @@ def _(spark, sf):
 seen AS (SELECT address AS wallet, min(block_time) AS first_seen, count(*) AS transactions FROM wallet_tx GROUP BY ALL),
 bal AS (SELECT address AS wallet, round(arg_max(post, (block_time, signature)) / 1e9::DOUBLE, 6) AS balance FROM sol_deltas GROUP BY ALL),
 nm AS (SELECT wallet, string_agg(mint, ',' ORDER BY mint) AS sampled_launches FROM (SELECT *, row_number() OVER (PARTITION BY wallet ORDER BY mint) AS r FROM parts) WHERE r <= 12 GROUP BY ALL),
-j AS (SELECT wallet, first_seen, transactions, balance, coalesce(launches, 0) AS launches, coalesce(ultra_early, 0)::BIGINT AS ultra_early, sampled_launches FROM seen LEFT JOIN totals USING (wallet) LEFT JOIN bal USING (wallet) LEFT JOIN nm USING (wallet))
-SELECT wallet, totals.first_seen, transactions, balance, launches, ultra_early, sampled_launches, {CLASS} FROM j totals""")
+j AS (SELECT wallet, seen.first_seen, transactions, balance, coalesce(launches, 0) AS launches, coalesce(ultra_early, 0)::BIGINT AS ultra_early, sampled_launches FROM seen LEFT JOIN totals USING (wallet) LEFT JOIN bal USING (wallet) LEFT JOIN nm USING (wallet))
+SELECT wallet, first_seen, transactions, balance, launches, ultra_early, sampled_launches, {CLASS} FROM j""")
 def _(spark, sf):
     out = U.wallet_summary(B.tape_c(spark, sf), B.wallet_tx(spark, sf), B.sol_deltas(spark, sf), B.entities(spark, sf))
     return out.select("wallet", "first_seen", "transactions", *r6("balance"), "launches", "ultra_early", F.array_join("sampled_launches", ",").alias("sampled_launches"), "history_class")
