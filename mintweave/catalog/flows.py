@@ -222,9 +222,20 @@ def _(spark, sf):
 # --- exports and the whole scan ---------------------------------------------------------------------------------
 
 
-def scan(spark, sf, depth="quick"):
+_SCANS: dict[tuple[str, str], object] = {}
+
+
+def scan(spark, sf):
+    """The full scan of the customer tape; its stored tables serve every query of a session."""
+    at = (spark.sparkContext.applicationId, sf)
+    if at not in _SCANS:
+        _SCANS[at] = _scan(spark, sf)
+    return _SCANS[at]
+
+
+def _scan(spark, sf):
     t = Tables(B.tape_c(spark, sf), B.launches(spark, sf), B.transfers(spark, sf), B.wallet_tx(spark, sf), B.entities(spark, sf))
-    return launch_scan(t, depth, scope="mint", fanout_threshold=4, width=180 * DAY, as_of=AS_OF)
+    return launch_scan(t, "full", scope="mint", fanout_threshold=4, width=180 * DAY, as_of=AS_OF)
 
 
 @query("export_wallets_csv", "tape_c", "launches", sql="""
@@ -241,7 +252,7 @@ def _(spark, sf):
 
 @query("launch_scan")
 def _(spark, sf):
-    out = scan(spark, sf, "full").report
+    out = scan(spark, sf).report
     return out.select("mint", "bundle_score", "families", "wallet_cluster", "funding_coordination", "buy_coordination", "creator_link", "historical_pattern", "sell_score", "mayhem_activity",
                       "early_buyer_risk", "dev_risk", "overall_risk", "confidence", "confidence_level", "classification", "risk_level", "verdict", F.array_join("warnings", "; ").alias("warnings"))
 

@@ -159,13 +159,13 @@ conf AS (SELECT *, {sql_100('CASE WHEN wallets_analyzed < 5 THEN least(r, 0.49::
 
 def coherent_rows(spark, sf):
     rows = R.bundle_score(signal_rows(spark, sf))
-    rows = rows.withColumn("coherence", R.coherence(F.array(*_VALUES))).withColumn("contradictions", R.contradictions())
+    rows = rows.withColumn("coherence", R.coherence(_VALUES)).withColumn("contradictions", R.contradictions())
     return R.confidence(rows)
 
 
 @query("coherence", sql=f"WITH {COHERENT} SELECT mint, cluster_id, round(coherence, 6) AS coherence FROM coh")
 def _(spark, sf):
-    return signal_rows(spark, sf).select("mint", "cluster_id", F.round(R.coherence(F.array(*_VALUES)), 6).alias("coherence"))
+    return signal_rows(spark, sf).select("mint", "cluster_id", F.round(R.coherence(_VALUES), 6).alias("coherence"))
 
 
 @query("contradictions", sql=f"WITH {COHERENT} SELECT mint, cluster_id, contra AS contradictions FROM con")

@@ -133,7 +133,7 @@ p AS (SELECT DISTINCT mint AS other_mint, wallet FROM tape)
 SELECT mint, other_mint, count(*) AS wallets FROM e JOIN p USING (wallet) WHERE k <= 50 AND mint <> other_mint GROUP BY ALL HAVING count(*) >= 3""")
 def _(spark, sf):
     tape = B.tape_b(spark, sf)
-    return H.recurring_groups(T.first_buyers(tape, 50), W.participation(tape))
+    return H.recurring_groups(T.first_buyers(tape, 50), W.participation(tape), hot_degree=20)
 
 
 @query("wallet_overlap_pairs", "tape_c", sql=f"""WITH {FIRST}, e AS (SELECT mint, wallet, row_number() OVER (PARTITION BY mint ORDER BY {B.ORDER_SQL}) AS k FROM first_buys),

@@ -197,8 +197,10 @@ def funding_paths(
         marked = chains.join(stop, keys, "left").withColumn("_open", F.col("_open") & F.col("_stop").isNull()).drop("_stop")
         marked = cut(marked, "hop")
         if causal:
+            # Each hop reaches fewer addresses; only their inflows enter the as-of join.
+            wanted = marked.filter("_open").select("address").distinct()
             stepped = last_before(
-                marked.filter("_open"), parents, on="address", order=ORDER, ties=TIES, payload=["source", *ORDER], width=width
+                marked.filter("_open"), parents.join(wanted, "address", "left_semi"), on="address", order=ORDER, ties=TIES, payload=["source", *ORDER], width=width
             )
         else:
             stepped = marked.filter("_open").join(newest, "address", "left")

@@ -9,38 +9,40 @@ from mintweave import params as P
 from mintweave.functions import scalars as S
 
 
-def recurring_groups(members: DataFrame, parts: DataFrame, min_wallets: int = 3) -> DataFrame:
+def recurring_groups(members: DataFrame, parts: DataFrame, min_wallets: int = 3, hot_degree: int = 10_000) -> DataFrame:
     """Other launches on which at least ``min_wallets`` of a launch's wallets appeared.
 
-    Two sets that share ``k`` wallets share one among all but the ``k - 1`` most
-    frequent wallets of either set, so only those generate candidates; the
-    frequent rest is looked up per candidate.  A bot that is in every launch
-    therefore never pairs all launches.  ``members`` is bounded per launch.
+    Two sets that share ``k`` wallets still share one after ``k - 1`` wallets are
+    set aside.  So up to ``k - 1`` wallets per launch, the ones on more than
+    ``hot_degree`` launches, generate no candidates and are looked up per
+    candidate instead: a bot that is on every launch never pairs all launches.
+    ``members`` is bounded per launch.
     """
     pairs = parts.select(F.col("mint").alias("other_mint"), "wallet")
     seen = parts.groupBy("wallet").agg(F.count(F.lit(1)).alias("_deg"))
     order = Window.partitionBy("mint").orderBy(F.col("_deg").desc(), "wallet")
     ranked = members.select("mint", "wallet").join(seen, "wallet").withColumn("_r", F.row_number().over(order))
-    rare, frequent = ranked.filter(F.col("_r") >= min_wallets), ranked.filter(F.col("_r") < min_wallets)
-    candidates = (
-        rare.select("mint", "wallet")
+    aside = (F.col("_r") < min_wallets) & (F.col("_deg") > hot_degree)
+    frequent = ranked.filter(aside).select("mint", "wallet")
+    counted = (
+        ranked.filter(~aside)
+        .select("mint", "wallet")
         .join(pairs, "wallet")
         .filter(F.col("mint") != F.col("other_mint"))
         .groupBy("mint", "other_mint")
-        .agg(F.count(F.lit(1)).alias("_rare"))
+        .agg(F.count(F.lit(1)).alias("_found"))
     )
+    limits = frequent.groupBy("mint").agg(F.count(F.lit(1)).alias("_aside"))
+    open_pairs = counted.join(limits, "mint").filter(F.col("_found") + F.col("_aside") >= min_wallets)
     extra = (
-        candidates.join(frequent.select("mint", "wallet"), "mint")
+        open_pairs.join(frequent, "mint")
         .join(pairs, ["other_mint", "wallet"], "left_semi")
         .groupBy("mint", "other_mint")
-        .agg(F.count(F.lit(1)).alias("_frequent"))
-    )
-    return (
-        candidates.join(extra, ["mint", "other_mint"], "left")
-        .withColumn("wallets", F.col("_rare") + F.coalesce("_frequent", F.lit(0)))
-        .filter(F.col("wallets") >= min_wallets)
-        .select("mint", "other_mint", "wallets")
+        .agg(F.count(F.lit(1)).alias("_extra"))
     )
+    widened = open_pairs.join(extra, ["mint", "other_mint"]).select("mint", "other_mint", (F.col("_found") + F.col("_extra")).alias("wallets"))
+    plain = counted.filter(F.col("_found") >= min_wallets).select("mint", "other_mint", F.col("_found").alias("wallets"))
+    return plain.unionByName(widened.filter(F.col("wallets") >= min_wallets)).groupBy("mint", "other_mint").agg(F.max("wallets").alias("wallets"))
 
 
 def wallet_overlap_pairs(members: DataFrame, parts: DataFrame, hot_degree: int = 10_000) -> DataFrame:

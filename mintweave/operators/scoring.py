@@ -53,7 +53,9 @@ def bundle_score(rows: DataFrame) -> DataFrame:
     items = [item(n, P.SIGNALS[n][2], points[n], P.SIGNALS[n][0], F.coalesce(n, F.lit(0.0))) for n in P.SIGNALS]
     items.append(item(other_name, other_label, other, other_weight, other / other_weight))
     scored = rows.withColumn("_items", F.array(*items)).withColumn("families", fired)
-    total = F.aggregate("_items", F.lit(0.0), lambda acc, x: acc + x["points"])
+    total = F.lit(0.0)
+    for value in [*points.values(), other]:
+        total = total + F.bround(value, 2)
     limit = F.when(F.col("families") >= P.MIN_FAMILIES, F.lit(None).cast("double")).when(
         F.col("families") == P.MIN_FAMILIES - 1, P.TWO_FAMILY_CEILING
     ).otherwise(P.ONE_FAMILY_CEILING)
@@ -151,11 +153,22 @@ def coordination_stats(rows: DataFrame, keys: list[str]) -> DataFrame:
 # --- confidence ---------------------------------------------------------------------------------
 
 
-def coherence(values: Column) -> Column:
-    """Sharp findings read as coherent, a grey smear as noise."""
-    kept = F.filter(values, lambda v: v > 0.05)
-    blend = 0.6 * S.array_mean(kept) + 0.4 * (1.0 - S.normalized_entropy(kept))
-    return F.when(F.size(kept) == 0, 0.0).when(F.size(kept) == 1, 0.35).otherwise(S.clamp(blend))
+def coherence(names: list[str]) -> Column:
+    """Sharp findings read as coherent, a grey smear as noise.
+
+    Written as plain sums over the signal columns, so it stays inside generated
+    code: the entropy of the kept values is ``ln T - sum(v ln v) / T``.
+    """
+    zero = F.lit(0.0)
+    n, total, vlnv = F.lit(0), zero, zero
+    for name in names:
+        v, keep = F.col(name), F.col(name) > 0.05
+        n = n + F.when(keep, 1).otherwise(0)
+        total = total + F.when(keep, v).otherwise(zero)
+        vlnv = vlnv + F.when(keep, v * F.ln(v)).otherwise(zero)
+    entropy = (F.ln(total) - vlnv / total) / F.ln(n.cast("double"))
+    blend = 0.6 * total / n + 0.4 * (1.0 - entropy)
+    return F.when(n == 0, 0.0).when(n == 1, 0.35).otherwise(S.clamp(blend))
 
 
 def contradictions() -> Column:

@@ -154,21 +154,24 @@ def launch_scan(
     scores = cut(scored, "scores")
 
     report = _report(t, depth, first, profiles, members, scores, creators, mayhem, trades, infra, atomic, exits, as_of)
+    # A launch without a cluster is described over all its buyers, as cluster 0.
+    bare = who.join(clusters.select("mint").distinct(), "mint", "left_anti").withColumn("cluster_id", F.lit(0))
+    subjects = cut(members.unionByName(bare.select(*members.columns)), "subjects")
     findings = [
-        V.evidence_atomic(members, atomic),
-        V.evidence_fee_payer(members, sponsors, X.sponsor_signatures(trades)),
-        V.evidence_common_funder(members, private, funding),
-        V.evidence_infra_funder(members, infra, funding),
-        V.evidence_intermediary(members, private_hops),
-        V.evidence_funding_window(members, profiles),
-        V.evidence_entry_sync(members, profiles),
-        V.evidence_buy_size(members, profiles),
-        V.evidence_fresh(members, profiles),
-        V.evidence_exit(Z.sync_exit_groups(members, exits)),
-        V.evidence_mayhem(clusters, mayhem, T.automated_wallets(trades)),
+        V.evidence_atomic(subjects, atomic),
+        V.evidence_fee_payer(subjects, sponsors, X.sponsor_signatures(trades)),
+        V.evidence_common_funder(subjects, private, funding),
+        V.evidence_infra_funder(subjects, infra, funding),
+        V.evidence_intermediary(subjects, private_hops),
+        V.evidence_funding_window(subjects, profiles),
+        V.evidence_entry_sync(subjects, profiles),
+        V.evidence_buy_size(subjects, profiles),
+        V.evidence_fresh(subjects, profiles),
+        V.evidence_exit(Z.sync_exit_groups(subjects, exits)),
+        V.evidence_mayhem(subjects, mayhem, T.automated_wallets(trades)),
     ]
     if deep:
-        findings += [V.evidence_repeat(members, H.recurring_groups(who, parts), parts), V.evidence_creator(members, links)]
+        findings += [V.evidence_repeat(subjects, H.recurring_groups(who, parts), parts), V.evidence_creator(subjects, links)]
     return Scan(
         profiles=profiles.join(K.wallet_cluster(members), on, "left"), funding=funding, paths=paths, associations=assoc, clusters=clusters,
         members=members, signals=signals, scores=scores, fingerprints=prints, evidence=V.evidence(findings), report=report,
@@ -228,7 +231,7 @@ def _report(t, depth, first, profiles, members, scores, creators, mayhem, trades
         .join(mayhem.select("mint", c("enabled").alias("mayhem_enabled"), c("activity").alias("mayhem_activity"), "flagged_trades"), "mint", "left")
         .withColumn("coverage", coverage)
         .withColumn("providers", F.lit(1.0))
-        .withColumn("coherence", R.coherence(F.array(*K.SIGNALS)))
+        .withColumn("coherence", R.coherence(K.SIGNALS))
         .withColumn("contradictions", R.contradictions())
         .fillna({"early_buyer_risk": 0, "dev_risk": 0, "same_slot_wallets": 0, "members": 0, "experienced_share": 0.0})
     )

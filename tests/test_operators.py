@@ -169,13 +169,13 @@ def test_overlap_pairs_match_brute_force(spark, hot):
     assert got == pytest.approx(want)
 
 
-@pytest.mark.parametrize("k", [1, 2, 3])
-def test_recurring_groups_match_brute_force(spark, k):
+@pytest.mark.parametrize("k, hot", [(1, 5), (2, 5), (3, 5), (3, 20), (3, 1000)])
+def test_recurring_groups_match_brute_force(spark, k, hot):
     parts = random_parts(8)
     df = spark.createDataFrame(sorted(parts), "wallet string, mint string")
     by = {m: {w for w, x in parts if x == m} for m in {p[1] for p in parts}}
     want = {(a, b): len(by[a] & by[b]) for a in by for b in by if a != b and len(by[a] & by[b]) >= k}
-    assert {(r.mint, r.other_mint): r.wallets for r in H.recurring_groups(df, df, k).collect()} == want
+    assert {(r.mint, r.other_mint): r.wallets for r in H.recurring_groups(df, df, k, hot).collect()} == want
 
 
 @pytest.mark.parametrize("threshold", [0.3, 0.6])
