@@ -225,9 +225,7 @@ def confidence(rows: DataFrame) -> DataFrame:
         + 0.10 * S.clamp(c("history_coverage"))
     )
     penalty = F.least(F.lit(0.35), 0.12 * F.size("contradictions"))
-    raw = S.clamp(weighted - penalty)
     small = c("wallets_analyzed") < P.LOW_DATA_WALLETS
-    capped = F.when(small, F.least(raw, F.lit(P.SMALL_SAMPLE_CEILING))).otherwise(raw)
     own = F.array_compact(
         F.array(
             F.when(small, "too few wallets for a group judgement"),
@@ -236,8 +234,17 @@ def confidence(rows: DataFrame) -> DataFrame:
             F.when(c("history_coverage") < 0.5, "history look-back was shallow"),
         )
     )
-    out = rows.withColumn("confidence", S.scale_to_100(capped)).withColumn("sample_factor", F.bround(sample, 3))
-    return out.withColumn("confidence_level", S.confidence_level(c("confidence"))).withColumn("limitations", F.concat(own, "contradictions"))
+    # One step per column: a limit names its argument twice, so nesting them would
+    # double the expression at every level.
+    return (
+        rows.withColumn("_weighted", weighted - penalty)
+        .withColumn("_raw", S.clamp(c("_weighted")))
+        .withColumn("_capped", F.when(small, F.least(c("_raw"), F.lit(P.SMALL_SAMPLE_CEILING))).otherwise(c("_raw")))
+        .withColumn("confidence", S.scale_to_100(c("_capped")))
+        .withColumn("confidence_level", S.confidence_level(c("confidence")))
+        .withColumn("limitations", F.concat(own, "contradictions"))
+        .drop("_weighted", "_raw", "_capped")
+    )
 
 
 def classification() -> Column:
