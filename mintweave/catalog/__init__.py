@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mintweave.catalog import flows, funding, graph, scoring, store, tape, wallets  # noqa: F401
+from mintweave.catalog import flows, funding, graph, ingest, scoring, store, tape, wallets  # noqa: F401
 from mintweave.catalog.registry import ORACLES, QUERIES, query
 from mintweave.catalog.tape import DAY_WINDOWS, EARLY, FIRST, _window_sql
 from mintweave.operators import execution as X
