@@ -173,9 +173,14 @@ WITH s AS (SELECT mint, list(DISTINCT wallet) FILTER (WHERE is_buy) AS b, list(D
 SELECT mint, round(CASE WHEN b IS NULL OR s IS NULL THEN 0 ELSE len(list_intersect(b, s)) / len(list_distinct(list_concat(b, s)))::DOUBLE END, 6) AS jaccard,
  round(CASE WHEN b IS NULL OR s IS NULL THEN 0 ELSE len(list_intersect(b, s)) / least(len(b), len(s))::DOUBLE END, 6) AS overlap_coefficient FROM s""")
 def _(spark, sf):
-    tape = B.tape_l(spark, sf)
-    sides = tape.groupBy("mint").agg(F.collect_set(F.when(F.col("is_buy"), F.col("wallet"))).alias("b"), F.collect_set(F.when(~F.col("is_buy"), F.col("wallet"))).alias("s"))
-    return sides.select("mint", F.round(S.jaccard(F.col("b"), F.col("s")), 6).alias("jaccard"), F.round(S.overlap_coefficient(F.col("b"), F.col("s")), 6).alias("overlap_coefficient"))
+    # Counts per (mint, wallet) instead of wallet sets: a launch may have any number of wallets.
+    side = B.tape_l(spark, sf).groupBy("mint", "wallet").agg(F.max(F.col("is_buy").cast("int")).alias("b"), F.max((~F.col("is_buy")).cast("int")).alias("s"))
+    n = side.groupBy("mint").agg(F.sum("b").alias("b"), F.sum("s").alias("s"), F.sum(F.col("b") * F.col("s")).alias("both"), F.count(F.lit(1)).alias("any"))
+    empty = (F.col("b") == 0) | (F.col("s") == 0)
+    return n.select(
+        "mint", F.round(F.when(empty, 0.0).otherwise(F.col("both") / F.col("any")), 6).alias("jaccard"),
+        F.round(F.when(empty, 0.0).otherwise(F.col("both") / F.least("b", "s")), 6).alias("overlap_coefficient"),
+    )
 
 
 @query("normalized_entropy", "tape_b", sql="""

@@ -127,39 +127,55 @@ SHAPE = ("size_bucket", "topology", "timing_bucket", "purchase_bucket", "age_buc
 
 
 def match_recurring(
-    prints: DataFrame, known: DataFrame, threshold: float = P.RECURRING_THRESHOLD, listed: int = 10
+    prints: DataFrame, known: DataFrame, threshold: float = P.RECURRING_THRESHOLD, listed: int = 10, hot_degree: int = 10_000
 ) -> DataFrame:
     """Earlier clusters of other launches that look like each cluster.
 
     Similarity is ``0.6 * member overlap + 0.4 * equal shape buckets``.  Shape
     alone reaches 0.4, so above that a shared member is necessary and an
     equi-join on members is exact.  Below it the equal-shape pairs are added.
+
+    A wallet in more than ``hot_degree`` stored clusters would pair them all.
+    Clusters have three members or more, so a single shared wallet is worth 0.2
+    at most: where that needs all five buckets equal, one hot wallet per cluster
+    joins on the shape too and is only looked up for the pairs found otherwise.
     """
     left = prints.select("mint", "cluster_id", F.size("members").alias("_n"), *SHAPE, "members")
     right = known.select(
         F.col("mint").alias("other_mint"), F.col("cluster_id").alias("other_id"), F.size("members").alias("_m"),
         *[F.col(c).alias(f"_k_{c}") for c in SHAPE], F.col("members").alias("_k_members"),
     )
-    equal = sum((F.when(F.col(c) == F.col(f"_k_{c}"), 1).otherwise(0) for c in SHAPE), F.lit(0)) / 5.0
+    same = [F.col(c) == F.col(f"_k_{c}") for c in SHAPE]
+    equal = sum((F.when(s, 1).otherwise(0) for s in same), F.lit(0)) / 5.0
     a = left.withColumn("wallet", F.explode("members")).drop("members")
     b = right.withColumn("wallet", F.explode("_k_members")).drop("_k_members")
     ids = ["mint", "cluster_id", "other_mint", "other_id"]
-    # The shape is checked inside the join: a pair that shares one wallet of a small
-    # cluster but not its shape can only pass with more overlap, which is counted next.
-    scored = (
+    other = F.col("mint") != F.col("other_mint")
+    shape_needed = threshold - 0.2 > 0.4 * 0.8 + 1e-9
+
+    if shape_needed:
+        degree = b.groupBy("wallet").agg(F.count(F.lit(1)).alias("_deg")).filter(F.col("_deg") > hot_degree)
+        first = Window.partitionBy("mint", "cluster_id").orderBy(F.col("_deg").desc_nulls_last(), "wallet")
+        marked = a.join(degree, "wallet", "left").withColumn("_r", F.row_number().over(first))
+        aside = F.col("_deg").isNotNull() & (F.col("_r") == 1)
+        hot = marked.filter(aside).drop("_deg", "_r")
+        a = marked.filter(~aside).drop("_deg", "_r")
+    found = (
         a.join(b, "wallet")
-        .filter(F.col("mint") != F.col("other_mint"))
+        .filter(other)
         .groupBy(*ids)
         .agg(F.count(F.lit(1)).alias("_both"), F.first("_n").alias("_n"), F.first("_m").alias("_m"), F.first(equal).alias("_equal"))
-        .withColumn("similarity", 0.6 * F.col("_both") / F.least("_n", "_m") + 0.4 * F.col("_equal"))
     )
+    if shape_needed:
+        keep = hot.select("mint", "cluster_id", "wallet")
+        looked = found.select(*ids).join(keep, ["mint", "cluster_id"]).join(b.select("other_mint", "other_id", "wallet"), ["other_mint", "other_id", "wallet"], "left_semi")
+        found = found.join(looked.select(*ids, F.lit(1).alias("_more")), ids, "left").withColumn("_both", F.col("_both") + F.coalesce("_more", F.lit(0))).drop("_more")
+        alone = hot.join(b, [hot["wallet"] == b["wallet"], *same]).filter(other).select(*ids, F.lit(1).alias("_both"), "_n", "_m", F.lit(1.0).alias("_equal"))
+        found = found.unionByName(alone)
+    scored = found.select(*ids, (0.6 * F.col("_both") / F.least("_n", "_m") + 0.4 * F.col("_equal")).alias("similarity"))
     if threshold <= 0.4:
-        shaped = (
-            left.join(right, [F.col(c) == F.col(f"_k_{c}") for c in SHAPE])
-            .filter((F.col("mint") != F.col("other_mint")) & ~F.arrays_overlap("members", "_k_members"))
-            .select(*ids, F.lit(0.4).alias("similarity"))
-        )
-        scored = scored.select(*ids, "similarity").unionByName(shaped)
+        shaped = left.join(right, same).filter(other & ~F.arrays_overlap("members", "_k_members")).select(*ids, F.lit(0.4).alias("similarity"))
+        scored = scored.unionByName(shaped)
     hits = scored.filter(F.col("similarity") >= threshold - 1e-12)
     per_mint = hits.groupBy("mint", "cluster_id", "other_mint").agg(F.max("similarity").alias("similarity"))
     total = per_mint.groupBy("mint", "cluster_id").agg(F.count(F.lit(1)).alias("matches"), F.max("similarity").alias("best_similarity"))

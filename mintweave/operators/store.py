@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,7 +63,7 @@ def save_clusters(spark: SparkSession, path: str, new: DataFrame, buckets: int =
     fresh = new.withColumn("bucket", mint_bucket(F.col("mint"), buckets))
     try:
         stored = spark.read.parquet(path)
-    except Exception:  # first write
+    except AnalysisException:  # first write
         stored = None
     merged = fresh if stored is None else replace_clusters(
         stored.join(fresh.select("bucket").distinct(), "bucket", "left_semi").select(*fresh.columns), fresh

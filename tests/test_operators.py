@@ -190,6 +190,29 @@ def test_recurring_clusters(spark, threshold):
         assert got["a"] == (2, 0.8) and got["d"] == (2, 0.4)
 
 
+@pytest.mark.parametrize("hot", [2, 15, 10_000])
+def test_recurring_clusters_match_brute_force(spark, hot):
+    rng = random.Random(12)
+    rows = []
+    for i in range(40):
+        members = {"bot"} if rng.random() < 0.8 else set()
+        while len(members) < rng.choice([3, 3, 4, 6]):
+            members.add(f"w{rng.randrange(25)}")
+        size = "small" if len(members) <= 3 else "medium"
+        rows.append((f"m{i % 30}", i, size, rng.choice(["x", "y"]), "high", "high", "low", "h", sorted(members)))
+    df = spark.createDataFrame(rows, "mint string, cluster_id int, size_bucket string, topology string, timing_bucket string, purchase_bucket string, age_bucket string, members_hash string, members array<string>")
+    want = {}
+    for x in rows:
+        for y in rows:
+            both = len(set(x[8]) & set(y[8]))
+            if x[0] != y[0] and both:
+                sim = 0.6 * both / min(len(x[8]), len(y[8])) + 0.4 * sum(p == q for p, q in zip(x[2:7], y[2:7])) / 5
+                if sim >= 0.6 - 1e-12:
+                    want.setdefault((x[0], x[1]), {})[y[0]] = max(sim, want.get((x[0], x[1]), {}).get(y[0], 0))
+    got = {(r.mint, r.cluster_id): (r.matches, round(r.best_similarity, 9)) for r in H.match_recurring(df, df, 0.6, hot_degree=hot).collect()}
+    assert got == {k: (len(v), round(max(v.values()), 9)) for k, v in want.items()}
+
+
 def test_components_match_union_find(spark):
     rng = random.Random(6)
     edges = [("m", f"n{rng.randrange(90)}", f"n{rng.randrange(90)}") for _ in range(60)] + [("m", f"p{i}", f"p{i + 1}") for i in range(30)]
