@@ -6,6 +6,7 @@ with whole-array numpy calls; no per-word Python object is made.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -32,6 +33,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def constant(frame: DataFrame) -> Column:
+    """The single value of a one-row, one-column frame, as a literal that higher-order functions can use.
+
+    A session variable holds it: lambda functions take no subqueries, and a column would be copied into every row.
+    """
+    spark, name = frame.sparkSession, f"value_{uuid.uuid4().hex}"
+    frame.toDF("value").createOrReplaceTempView(name)
+    spark.sql(f"DECLARE VARIABLE {name} {frame.dtypes[0][1]}")
+    spark.sql(f"SET VARIABLE {name} = (SELECT value FROM {name})")
+    spark.catalog.dropTempView(name)
+    return F.expr(name)
+
+
 def remainder(column: str, modulus: int) -> Column:
     """crc32 of the id's decimal text, modulo ``modulus``: the contract's split into folds."""
     return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(modulus))

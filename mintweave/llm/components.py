@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,3 +39,21 @@ def _small(state: DataFrame) -> DataFrame:
     low = state.groupBy("u").agg(F.min("v").alias("m"))
     moved = state.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
     return moved.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
+
+
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (node, lowest node of its component) with the same components as the links given."""
+    nodes, back = np.unique(np.concatenate([a, b]), return_inverse=True)
+    u, v = back[: len(a)], back[len(a):]
+    label = np.arange(len(nodes))
+    while True:
+        low = np.minimum(label[u], label[v])
+        new = label.copy()
+        for end in (u, v, label[u], label[v]):
+            np.minimum.at(new, end, low)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    moved = label != np.arange(len(nodes))
+    return nodes[moved], nodes[label[moved]]

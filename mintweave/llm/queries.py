@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mintweave.llm import common as C
-from mintweave.llm import minhash
+from mintweave.llm import bpe, hnsw, langmix, minhash, packing, quality, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -24,3 +24,65 @@ def op9_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents."""
     out = minhash.near_duplicates(C.table(spark, sf_dir, "documents"))
     return out.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
+
+
+def _lang_training(docs: DataFrame) -> DataFrame:
+    return docs.filter(C.remainder("doc_id", 4) != 2)
+
+
+@query
+def op10_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from the folds other than 2."""
+    docs = C.table(spark, sf_dir, "documents")
+    out = langmix.identify(docs, langmix.profiles(_lang_training(docs)))
+    return out.select(F.col("id").alias("doc_id"), (C.remainder("id", 4) == 2).alias("held_out"), "lang_pred", "score", "proportions")
+
+
+def _toxic_training(spark: SparkSession, sf_dir: str, docs: DataFrame) -> DataFrame:
+    marks = C.table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    return docs.filter(C.remainder("doc_id", 4) != 2).select("doc_id", "text").join(marks, "doc_id")
+
+
+@query
+def op7_subsequence_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from the labelled folds other than 2."""
+    docs = C.table(spark, sf_dir, "documents")
+    out = toxicity.score(docs, toxicity.fit(_toxic_training(spark, sf_dir, docs)))
+    return out.select(F.col("id").alias("doc_id"), (C.remainder("id", 4) == 2).alias("held_out"), "score", "predicted", "margin")
+
+
+def _definition(name: str = "word_bpe_49k.json") -> str:
+    """The tokenizer's file, read by the driver (a few MB) and sent to the workers."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path(name), encoding="utf-8") as file:
+        return file.read()
+
+
+@query
+def op2_least_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of at most 4096 tokens."""
+    return packing.pack(C.table(spark, sf_dir, "documents"), _definition()).withColumnRenamed("id", "doc_id")
+
+
+@query
+def op1_likelihood_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base measures and n-gram likelihood ratio of every document; documents marked good are the trusted target."""
+    trusted = C.table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id")
+    return quality.assessed(C.table(spark, sf_dir, "documents"), trusted)
+
+
+@query
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte-level ids of every document, and what they decode to."""
+    import public_tokenizers
+
+    out = bpe.encode(C.table(spark, sf_dir, "documents"), _definition("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return out.withColumnRenamed("id", "doc_id")
+
+
+@query
+def op4_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all embeddings."""
+    out = hnsw.near_duplicates(C.table(spark, sf_dir, "embeddings"))
+    return out.select(F.col("id").alias("vec_id"), "n_links", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
