@@ -8,11 +8,12 @@ similarity 0.75 always share a kind.  Bands of equal registers name candidates,
 estimate discards hopeless ones, and whole shingle sets confirm the rest.
 
 Texts with equal sets are one class (128-bit set sum and size), so copies are never paired.  Within a
-bucket, classes are first paired with its lowest one; only classes that this leaves in different
-components are paired with each other.  No pair of a settled component is made, and no link that could
-join two components is left out.
+bucket, classes are first paired with its lowest one.  Where that leaves a bucket in several components, the
+classes of all buckets that hang together are compared whole against whole, tile by tile, by exact counts of
+shared shingles; a task returns a spanning forest of the links it finds.  No table of pairs is made, and no
+link that could join two components is left out.
 
-Chance of missing a pair at exactly 0.75 by banding: (1 - 0.75^3)^42, about 1e-10.
+Chance of missing a pair at exactly 0.75 by banding: (1 - 0.75^5)^51, about 1e-6.
 """
 
 from __future__ import annotations
@@ -20,20 +21,25 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mintweave.llm import common as C
-from mintweave.llm.components import components
+from mintweave.llm.components import components, forest
 from mintweave.session import cut
 
 SHINGLE = 5
-REGISTERS = 128
+REGISTERS = 256
 MANTISSA = 10
-BAND = 3
-WIDE = 683
-LARGE = 512
+BAND = 5
+WIDE = 1366
+LARGE = 1024
+#: Documents compared with each other in one task.
+TILE = 1024
+#: Bits of the filter that spares most texts a shuffle; a fixed 1 MB.
+FILTER = 1 << 23
 #: Standard deviations of the estimate that a candidate may lie below the threshold.
 SLACK = 5.0
 EMPTY = 0
@@ -96,22 +102,18 @@ def sketches(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     """``id, n, s1, s2, narrow, wide`` per text: set size, 128-bit set sum and the two sketches (null where not kept)."""
 
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        with np.errstate(over="ignore"):
-            rows = list(_sketch_rows(batch))
-        ids = batch.column(0)
-        for at in range(0, len(rows), 4096):
-            part = rows[at:at + 4096]
-            columns = list(zip(*part))
-            yield pa.RecordBatch.from_arrays(
-                [ids.slice(at, len(part)), pa.array(columns[0], pa.int64()), *(pa.array(np.array(columns[k], np.uint64).view(np.int64)) for k in (1, 2)), *(pa.array(columns[k], pa.binary()) for k in (3, 4))],
-                names=["id", "n", "s1", "s2", "narrow", "wide"],
-            )
-
-    def _sketch_rows(batch: pa.RecordBatch) -> Iterator[tuple]:
+        at, rows = 0, []
         for _, found in document_sets(batch, "text"):
             n = len(found)
             sums = (int(found.sum(dtype=np.uint64)), int(C.mix(found ^ np.uint64(0x5DEECE66D)).sum(dtype=np.uint64)))
-            yield n, *sums, sketch_narrow(found).tobytes() if 0 < n <= WIDE else None, sketch_wide(found).tobytes() if n > LARGE else None
+            rows.append((n, *sums, sketch_narrow(found).tobytes() if 0 < n <= WIDE else None, sketch_wide(found).tobytes() if n > LARGE else None))
+            if len(rows) == 512 or at + len(rows) == batch.num_rows:
+                columns = list(zip(*rows))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(at, len(rows)), pa.array(columns[0], pa.int64()), *(pa.array(np.array(columns[k], np.uint64).view(np.int64)) for k in (1, 2)), *(pa.array(columns[k], pa.binary()) for k in (3, 4))],
+                    names=["id", "n", "s1", "s2", "narrow", "wide"],
+                )
+                at, rows = at + len(rows), []
 
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     return C.per_batch(rows, work, "id long, n long, s1 long, s2 long, narrow binary, wide binary")
@@ -164,14 +166,57 @@ def plausible(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFra
     return C.per_batch(both, work, "a long, b long")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, percent: int, key: str, text: str) -> DataFrame:
-    """Pairs whose whole sets satisfy ``100 * |A n B| >= percent * |A u B|``."""
+def likely(docs: DataFrame, wanted: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """Rows whose id may be in ``wanted``, and rows whose id is not: a bitmap of hashed ids, one fixed size for any input.
+
+    It keeps most texts out of a join's shuffle; the join itself decides.
+    """
+
+    def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(FILTER, bool)
+        for batch in batches:
+            bits[_slots(batch.column(0))] = True
+        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], names=["bits"])
+
+    whole = np.zeros(FILTER // 8, np.uint8)
+    for part in wanted.mapInArrow(marks, "bits binary").toLocalIterator():
+        whole |= np.frombuffer(part[0], np.uint8)
+    shared = docs.sparkSession.sparkContext.broadcast(whole)
+
+    spot = docs.columns.index(key)
+
+    def pick(value: bool) -> DataFrame:
+        def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            yield batch.filter(pa.array(np.unpackbits(shared.value).astype(bool)[_slots(batch.column(spot))] == value))
+
+        return C.per_batch(docs, work, docs.schema)
+
+    return pick(True), pick(False)
+
+
+def shingle_sets(docs: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFrame:
+    """``id, members`` (sorted 64-bit shingles) of the documents in ``wanted``."""
 
     def sets(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        with np.errstate(over="ignore"):
-            found = [s.tobytes() for _, s in document_sets(batch, "text")]
-        for at in range(0, len(found), 512):
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(found[at:at + 512])), pa.array(found[at:at + 512], pa.binary())], names=["id", "members"])
+        at, found = 0, []
+        for _, members in document_sets(batch, "text"):
+            found.append(members.tobytes())
+            if len(found) == 256 or at + len(found) == batch.num_rows:
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(found)), pa.array(found, pa.binary())], names=["id", "members"])
+                at, found = at + len(found), []
+
+    rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
+    kept = likely(rows.filter("id is not null"), wanted, "id")[0].join(wanted, "id", "left_semi")
+    return C.per_batch(kept, sets, "id long, members binary")
+
+
+def _slots(ids: pa.Array) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return (C.mix(ids.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)) % np.uint64(FILTER)).astype(np.int64)
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose whole sets satisfy ``100 * |A n B| >= percent * |A u B|``."""
 
     def compare(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         keep = []
@@ -183,14 +228,48 @@ def confirmed(pairs: DataFrame, docs: DataFrame, percent: int, key: str, text: s
             keep.append(100 * shared >= percent * (len(a) + len(b) - shared))
         yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(keep, pa.bool_())) for k in (0, 1)], names=["a", "b"])
 
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).join(wanted, "id", "left_semi")
-    whole = C.per_batch(rows, sets, "id long, members binary")
-    side = lambda s: whole.withColumnsRenamed({"id": s, "members": f"set{s}"})
+    side = lambda s: sets.withColumnsRenamed({"id": s, "members": f"set{s}"})
     both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "seta", "setb")
     return C.per_batch(both, compare, "a long, b long")
 
 
+def tiled(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Spanning links ``a, b`` among documents of one ``family`` that lie in different ``component``s.
+
+    A family is dealt to tiles of about ``TILE`` documents; each pair of tiles is one task's work.
+    """
+    sizes = members.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles"))
+    dealt = members.join(sizes, "family").withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    placed = dealt.select("family", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"), "id", "component").join(sets, "id")
+
+    def compare(frame: pd.DataFrame) -> pd.DataFrame:
+        ids, groups = frame["id"].to_numpy(np.int64), frame["component"].to_numpy(np.int64)
+        held = [np.frombuffer(m, np.uint64) for m in frame["members"]]
+        size = np.array([len(h) for h in held])
+        owner = np.repeat(np.arange(len(held)), size)
+        _, code, often = np.unique(np.concatenate(held), return_inverse=True, return_counts=True)
+        common = often[code] > 1
+        owner, code = owner[common], code[common]
+        _, code = np.unique(code, return_inverse=True)
+        order = np.argsort(code, kind="stable")
+        owner, code = owner[order], code[order]
+        shared = np.zeros((len(held), len(held)), np.float32)
+        for at in range(0, int(code[-1]) + 1 if len(code) else 0, 4096):
+            lo, hi = np.searchsorted(code, [at, at + 4096])
+            part = np.zeros((len(held), 4096), np.float32)
+            part[owner[lo:hi], code[lo:hi] - at] = 1
+            used = np.unique(owner[lo:hi])
+            shared[np.ix_(used, used)] += part[used] @ part[used].T
+        linked = 100 * shared >= percent * (size[:, None] + size[None, :] - shared)
+        linked &= groups[:, None] != groups[None, :]
+        a, b = np.nonzero(np.triu(linked, 1))
+        node, root = forest(ids[a], ids[b])
+        return pd.DataFrame({"a": root, "b": node})
+
+    return placed.groupBy("family", "low", "high").applyInPandas(compare, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, percent: int = 75, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``id, n_shingles, component_id`` of every text, linked where ``100 * |A n B| >= percent * |A u B|``.
 
@@ -206,19 +285,29 @@ def near_duplicates(docs: DataFrame, percent: int = 75, key: str = "doc_id", tex
     low = rows.groupBy("bucket").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high").select("bucket", "low")
     shared = cut(rows.join(low, "bucket"), "buckets")
 
-    stars = shared.filter("id <> low").select(F.col("low").alias("a"), F.col("id").alias("b")).distinct()
-    links = cut(confirmed(cut(plausible(stars, classes, percent / 100), "pairs"), docs, percent, key, text), "links")
+    stars = cut(plausible(shared.filter("id <> low").select(F.col("low").alias("a"), F.col("id").alias("b")).distinct(), classes, percent / 100), "pairs")
+    sets = shingle_sets(docs, stars.select(F.explode(F.array("a", "b")).alias("id")).distinct(), key, text)
+    links = cut(confirmed(stars, sets, percent), "links")
     found = cut(components(links), "found")
 
     placed = shared.select("bucket", "id").join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    split = placed.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("bucket")
-    open_ = cut(placed.join(split, "bucket", "left_semi"), "open")
-    other = open_.select("bucket", F.col("id").alias("b"), F.col("component").alias("d"))
-    rest = open_.withColumnRenamed("id", "a").join(other, "bucket").filter("component < d").select("a", "b").distinct()
-    more = cut(confirmed(cut(plausible(rest, classes, percent / 100), "pairs"), docs, percent, key, text), "links")
+    split = placed.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.min("id").alias("low")).filter("x < y").select("bucket", "low")
+    open_ = cut(placed.join(split, "bucket").select("id", "component", "low").distinct(), "open")
+    families = components(open_.select(F.col("id").alias("a"), F.col("low").alias("b"))).withColumnsRenamed({"node": "id", "component": "family"})
+    members = cut(open_.select("id", "component").distinct().join(families, "id"), "members")
+    more = cut(tiled(members, shingle_sets(docs, members.select("id"), key, text), percent), "links")
     final = components(links.unionByName(more))
 
     of_class = classes.join(final.withColumnRenamed("node", "id"), "id", "left").select(*same, F.coalesce("component", "id").alias("component_id"))
     joined = solid.select("id", *same).join(of_class, same).select("id", "n", "component_id")
     none = sketch.filter("n = 0").select("id", "n", F.col("id").alias("component_id"))
     return joined.unionByName(none).withColumnRenamed("n", "n_shingles")
+
+
+def representatives(docs: DataFrame, percent: int = 75, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows, all columns as they are, that no smaller id of their component replaces; a null id is kept."""
+    found = near_duplicates(docs.filter(F.col(key).isNotNull()), percent, key, text)
+    gone = cut(found.filter("id <> component_id").select("id"), "gone")
+    maybe, surely = likely(docs.filter(F.col(key).isNotNull()), gone, key)
+    stay = maybe.join(gone, maybe[key] == gone["id"], "left_anti")
+    return stay.unionByName(surely).unionByName(docs.filter(F.col(key).isNull()))
