@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mintweave.llm import common as C
@@ -116,23 +116,20 @@ def mixtures(likely: np.ndarray, count: np.ndarray, first: np.ndarray, owner: np
     return pi
 
 
-def identify(docs: DataFrame, counts: dict[str, np.ndarray], key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``id, lang_pred, score, proportions`` of every text.
+class Identifier:
+    """Language, score and proportions of every text of a batch, from trigram counts."""
 
-    A null text, or one without a letter, is ``und`` with score 0; so is every text when nothing was learned.
-    A text with letters but no trigram (one or two letters) gets the language of most training text, score 1 / languages.
-    Rows are kept one for one; repeated rows get equal results; other columns are not read.
-    """
-    names = list(counts)
-    table = np.array([np.log((counts[k] + 0.5) / (counts[k].sum() + 0.5 * BUCKETS)) for k in names]).T if names else np.zeros((BUCKETS, 0))
-    table = np.exp(table).astype(np.float32)
-    usual = int(np.argmax([counts[k].sum() for k in names])) if names else 0
+    def __init__(self, counts: dict[str, np.ndarray]) -> None:
+        self.names = list(counts)
+        shares = [(counts[k] + 0.5) / (counts[k].sum() + 0.5 * BUCKETS) for k in self.names]
+        self.table = np.array(shares).T.astype(np.float32) if shares else np.zeros((BUCKETS, 0), np.float32)
+        self.usual = int(np.argmax([counts[k].sum() for k in self.names])) if shares else 0
 
-    def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        langs = len(names)
+    def of(self, batch: pa.RecordBatch, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        langs = len(self.names)
         shares = np.full((batch.num_rows, langs), 1 / max(langs, 1), np.float32)
-        best = np.full(batch.num_rows, usual)
-        for at, end, data, offsets in C.text_steps(batch, "text", STEP):
+        best = np.full(batch.num_rows, self.usual)
+        for at, end, data, offsets in C.text_steps(batch, text, STEP):
             with np.errstate(over="ignore"):
                 bucket, inside = trigrams(data, offsets)
             if not langs or not inside.any():
@@ -144,14 +141,42 @@ def identify(docs: DataFrame, counts: dict[str, np.ndarray], key: str = "doc_id"
             packed = packed[first]
             text_of, gram = packed // BUCKETS, packed % BUCKETS
             start = np.flatnonzero(np.diff(text_of, prepend=-1))
-            pi = mixtures(table[gram], count, start, np.repeat(np.arange(len(start)), np.diff(start, append=len(text_of))))
+            pi = mixtures(self.table[gram], count, start, np.repeat(np.arange(len(start)), np.diff(start, append=len(text_of))))
             rows = at + text_of[start]
             shares[rows] = pi
             best[rows] = pi.argmax(axis=1)
-        lettered = batch.column(2).to_numpy(zero_copy_only=False).astype(bool) if langs else np.zeros(batch.num_rows, bool)
-        label = np.array([*names, "und"], object)[np.where(lettered, best, langs)]
-        score = np.where(lettered, shares[np.arange(len(best)), best] if langs else 0, 0).astype(float).clip(0, 1)
+        return np.array([*self.names, "und"], object)[best] if langs else np.full(batch.num_rows, "und", object), shares[np.arange(len(best)), best] if langs else np.zeros(len(best)), shares
+
+
+def _lettered(text: str) -> Column:
+    return F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
+
+
+def identify(docs: DataFrame, counts: dict[str, np.ndarray], key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``id, lang_pred, score, proportions`` of every text.
+
+    A null text, or one without a letter, is ``und`` with score 0; so is every text when nothing was learned.
+    A text with letters but no trigram gets the language of most training text, score 1 / languages.
+    Rows are kept one for one; repeated rows get equal results; other columns are not read.
+    """
+    model = Identifier(counts)
+
+    def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        label, score, shares = model.of(batch, "text")
+        lettered = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
+        label, score = np.where(lettered, label, "und"), np.where(lettered, score, 0).astype(float).clip(0, 1)
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(label, pa.string()), pa.array(score), pa.array(list(shares.astype(float)), pa.list_(pa.float64()))], names=["id", "lang_pred", "score", "proportions"])
 
-    rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"), F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("lettered"))
+    rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"), _lettered(text).alias("lettered"))
     return C.per_batch(rows, work, "id long, lang_pred string, score double, proportions array<double>")
+
+
+def accepted(docs: DataFrame, counts: dict[str, np.ndarray], share: float, text: str = "text") -> DataFrame:
+    """The rows, all columns as they are, with a letter and a language of at least ``share``; all lettered rows when nothing was learned."""
+    model = Identifier(counts)
+
+    def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        yield batch.filter(pa.array(model.of(batch, text)[1] >= share))
+
+    lettered = docs.filter(_lettered(text))
+    return C.per_batch(lettered, work, docs.schema) if counts else lettered

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mintweave.llm import common as C
-from mintweave.llm import bpe, hnsw, langmix, minhash, packing, quality, toxicity
+from mintweave.llm import bpe, hnsw, html_text, langmix, lm, minhash, packing, quality, quotes, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -51,7 +51,7 @@ def op7_subsequence_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), (C.remainder("id", 4) == 2).alias("held_out"), "score", "predicted", "margin")
 
 
-def _definition(name: str = "word_bpe_49k.json") -> str:
+def definition(name: str = "word_bpe_49k.json") -> str:
     """The tokenizer's file, read by the driver (a few MB) and sent to the workers."""
     import public_tokenizers
 
@@ -62,7 +62,7 @@ def _definition(name: str = "word_bpe_49k.json") -> str:
 @query
 def op2_least_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of at most 4096 tokens."""
-    return packing.pack(C.table(spark, sf_dir, "documents"), _definition()).withColumnRenamed("id", "doc_id")
+    return packing.pack(C.table(spark, sf_dir, "documents"), definition()).withColumnRenamed("id", "doc_id")
 
 
 @query
@@ -77,7 +77,7 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte-level ids of every document, and what they decode to."""
     import public_tokenizers
 
-    out = bpe.encode(C.table(spark, sf_dir, "documents"), _definition("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    out = bpe.encode(C.table(spark, sf_dir, "documents"), definition("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     return out.withColumnRenamed("id", "doc_id")
 
 
@@ -86,3 +86,23 @@ def op4_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all embeddings."""
     out = hnsw.near_duplicates(C.table(spark, sf_dir, "embeddings"))
     return out.select(F.col("id").alias("vec_id"), "n_links", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
+
+
+@query
+def op8_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-probability of every document, learned from the folds other than 2."""
+    docs = C.table(spark, sf_dir, "documents").withColumn("train", C.remainder("doc_id", 7) != 2)
+    out = lm.scored(docs)
+    return out.select(F.col("id").alias("doc_id"), (C.remainder("id", 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query
+def op6_host_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_text.main_text(C.table(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
+
+
+@query
+def op5_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every message of all conversations without quotes, with the message it answers."""
+    return quotes.conversations(C.table(spark, sf_dir, "conversations"))

@@ -49,22 +49,22 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * margins + self.intercept, -60, 60)))
 
 
-def closed_up(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Lower-cased bytes without the blanks between single-byte words, with word starts and ends; offsets are kept."""
+def closed_up(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Lower-cased bytes without the blanks between single-byte words; word starts, ends and words before each text."""
     data = C.LOWER[data]
-    starts, ends, _ = C.word_spans(data, offsets)
+    starts, ends, first = C.word_spans(data, offsets)
     if len(starts) < 2:
-        return data, starts, ends
+        return data, starts, ends, first
     single = ends - starts == 1
     owner = np.searchsorted(offsets, starts, "right")
     join = single[:-1] & single[1:] & (starts[1:] == ends[:-1] + 1) & (owner[1:] == owner[:-1])
     if not join.any():
-        return data, starts, ends
+        return data, starts, ends, first
     gone = np.zeros(len(data) + 1, np.int64)
     gone[ends[:-1][join]] = 1
     shift = np.cumsum(gone) - gone
-    keep = np.append(~join, True)
-    return data[gone[:-1] == 0], (starts - shift[starts])[np.insert(keep[:-1], 0, True)], (ends - shift[ends])[keep]
+    head, tail = np.insert(~join, 0, True), np.append(~join, True)
+    return data[gone[:-1] == 0], (starts - shift[starts])[head], (ends - shift[ends])[tail], np.append(0, np.cumsum(head))[first]
 
 
 def _packed(data: np.ndarray, pattern: tuple[int, int, int], n: int) -> np.ndarray:
@@ -166,36 +166,37 @@ def train(positive: list[bytes], negative: list[bytes], cost: float = 10.0) -> t
     return weights, float(w[-1])
 
 
+def _margins_of(batch: pa.RecordBatch, text: str, weights: np.ndarray, bias: float) -> np.ndarray:
+    """The highest decision value among the words of every text of a batch, at least ``FLOOR``."""
+    best = np.full(batch.num_rows, FLOOR)
+    for at, _, data, offsets in C.text_steps(batch, text):
+        with np.errstate(over="ignore"):
+            tight, starts, ends, first = closed_up(data, offsets)
+            if not len(starts):
+                continue
+            found = margins(tight, starts, ends, weights, bias)
+        some = np.flatnonzero(np.diff(first) > 0)
+        best[at + some] = np.maximum(FLOOR, np.maximum.reduceat(found, first[:-1][some]))
+    return best
+
+
 def text_margins(docs: DataFrame, weights: np.ndarray, bias: float, key: str, text: str, *extra: str) -> DataFrame:
-    """``id, margin`` and ``extra`` columns: the highest decision value among a text's words, at least ``FLOOR``."""
+    """``id, margin`` and ``extra`` columns."""
 
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        best = np.full(batch.num_rows, FLOOR)
-        for at, end, data, offsets in C.text_steps(batch, "text"):
-            with np.errstate(over="ignore"):
-                tight, starts, ends = closed_up(data, offsets)
-                if not len(starts):
-                    continue
-                found = margins(tight, starts, ends, weights, bias)
-            # words per text are counted on the closed-up bytes
-            first = _first_words(data, offsets, len(starts))
-            some = np.flatnonzero(np.diff(first) > 0)
-            best[at + some] = np.maximum(FLOOR, np.maximum.reduceat(found, first[:-1][some]))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(best), *batch.columns[2:]], names=["id", "margin", *extra])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_margins_of(batch, "text", weights, bias)), *batch.columns[2:]], names=["id", "margin", *extra])
 
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"), *extra)
     return C.per_batch(rows, work, ", ".join(["id long, margin double", *(f"{c} {t}" for c, t in rows.dtypes[2:])]))
 
 
-def _first_words(data: np.ndarray, offsets: np.ndarray, count: int) -> np.ndarray:
-    """Per text the number of closed-up words before it."""
-    starts, ends, first = C.word_spans(data, offsets)
-    if len(starts) == count:
-        return first
-    single = ends - starts == 1
-    owner = np.searchsorted(offsets, starts, "right")
-    join = np.append(False, single[:-1] & single[1:] & (starts[1:] == ends[:-1] + 1) & (owner[1:] == owner[:-1]))
-    return np.append(0, np.cumsum(~join))[first]
+def accepted(docs: DataFrame, model: Model, text: str = "text", threshold: float = 0.3) -> DataFrame:
+    """The rows, all columns as they are, whose score is below ``threshold``."""
+
+    def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        yield batch.filter(pa.array(model.score(_margins_of(batch, text, model.weights, model.bias)) < threshold))
+
+    return C.per_batch(docs, work, docs.schema)
 
 
 def _word_counts(labelled: DataFrame) -> DataFrame:
@@ -213,7 +214,7 @@ def _word_counts(labelled: DataFrame) -> DataFrame:
             label = batch.column(1).to_pylist()
             for at, end, data, offsets in C.text_steps(batch, "text"):
                 for i in range(end - at):
-                    tight, starts, ends = closed_up(data[offsets[i]:offsets[i + 1]], np.array([0, offsets[i + 1] - offsets[i]]))
+                    tight, starts, ends, _ = closed_up(data[offsets[i]:offsets[i + 1]], np.array([0, offsets[i + 1] - offsets[i]]))
                     raw, side = tight.tobytes(), 0 if label[at + i] else 1
                     for word in {raw[a:b] for a, b in zip(starts.tolist(), ends.tolist()) if b - a >= 4}:
                         counts.setdefault(word, [0, 0])[side] += 1
