@@ -14,25 +14,26 @@ def components(links: DataFrame) -> DataFrame:
 
     Alternating large-star and small-star steps (Kiveris et al. 2014): grouped minima and equi-joins only,
     no neighbourhood is gathered.  Each round is written to the shared folder, which cuts the lineage.
-    The loop ends when a round changes nothing; rounds grow with the logarithm of the longest path.
+    The loop ends when all links point to roots; rounds grow with the logarithm of the longest path.
     Links of a node to itself, repeated links and nulls are ignored; an empty table gives an empty result.
     """
     state = cut(links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
-    mark = None
-    while True:
+    while not _settled(state):
         state = cut(_small(_large(state)), "links")
-        now = state.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == mark or not now[0]:
-            break
-        mark = now
-    roots = state.select(F.col("v").alias("node"), F.col("v").alias("component"))
-    return state.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots).distinct()
+    roots = state.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+    return state.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+
+
+def _settled(state: DataFrame) -> bool:
+    """Whether every node has one link to a node that has none itself."""
+    ends = state.select(F.col("u").alias("node"), F.lit(1).alias("child"), F.lit(0).alias("root")).unionByName(state.select(F.col("v").alias("node"), F.lit(0).alias("child"), F.lit(1).alias("root")))
+    return ends.groupBy("node").agg(F.sum("child").alias("c"), F.max("root").alias("r")).filter("c > 1 or (c > 0 and r > 0)").agg(F.count(F.lit(1))).first()[0] == 0
 
 
 def _large(state: DataFrame) -> DataFrame:
     ends = state.unionByName(state.select(F.col("v").alias("u"), F.col("u").alias("v")))
     low = ends.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return ends.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return ends.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small(state: DataFrame) -> DataFrame:
