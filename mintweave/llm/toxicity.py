@@ -4,9 +4,11 @@ The kernel compares two strings by the 4-byte subsequences they share, each occu
 ``SPAN`` bytes and weighing ``DECAY`` per byte skipped.  Inserted characters therefore cost little, and
 words spelled letter by letter ("s t u p") are closed up first.
 
-Labels are known per text, not per word: a text is a bag of words.  Words whose toxic and clean labelled
-document counts differ beyond what chance among all words allows are the positive examples; words of clean
-texts, first a hashed share, then those that the first machine takes for insults, are the negative ones.
+Labels are known per text, not per word: a text is a bag of words.  Words that nearly only toxic texts hold,
+beyond what chance among all words allows, are candidates; the positive examples are those that explain the
+most toxic texts not explained yet, so words that merely stand beside an insult in copies of a text drop
+out, and then the candidates that the machine itself takes for insults.  Words of clean texts, first a hashed
+share, then those nearest the positive ones, are the negative examples.
 A squared-hinge machine is trained on Nystroem features of these.  Since the kernel is a sum over shared
 subsequences, the machine folds into one weight per (hashed) subsequence, so scoring a text is a pass over
 its bytes: the text's margin is the highest of its words', and a logistic fit on the labelled texts turns
@@ -32,7 +34,10 @@ from mintweave.session import cut
 SPAN = 6
 DECAY = 0.7
 BITS = 18
-LANDMARKS = 256
+LANDMARKS = 512
+#: A candidate's largest share of clean texts, and the fewest unexplained texts that it must explain.
+IMPURE = 0.05
+EXPLAINS = 3
 FLOOR = -3.0
 _OFFSETS = [c for c in combinations(range(1, SPAN), 3)]
 _WEIGHTS = [DECAY ** (c[-1] - 3) for c in _OFFSETS]
@@ -138,7 +143,7 @@ def _similarity(words: list[bytes], landmarks: list[bytes]) -> np.ndarray:
     return out
 
 
-def train(positive: list[bytes], negative: list[bytes], cost: float = 10.0) -> tuple[np.ndarray, float]:
+def train(positive: list[bytes], negative: list[bytes], cost: float = 1000.0) -> tuple[np.ndarray, float]:
     """Weights per hashed subsequence and bias of the Nystroem machine."""
     spread = lambda words, n: words if len(words) <= n else [words[i] for i in np.linspace(0, len(words) - 1, n).astype(int)]
     landmarks = list(dict.fromkeys(spread(positive, LANDMARKS * 3 // 4) + spread(negative, LANDMARKS // 4)))
@@ -237,7 +242,7 @@ def fit(labelled: DataFrame, max_texts: int = 40_000, max_words: int = 20_000, t
     rows = cut(rows, "labelled")
     n_toxic, n = rows.agg(F.sum("label"), F.count(F.lit(1))).first()
     n_toxic = n_toxic or 0
-    prior = (n_toxic + 0.5) / (n + 1)
+    prior = (n_toxic + 0.1) / (n + 1)
     flat = Model(np.zeros(1 << BITS, np.float32), FLOOR, 0.0, float(np.log(prior / (1 - prior))))
     if not n_toxic or n_toxic == n:
         return flat
@@ -245,31 +250,77 @@ def fit(labelled: DataFrame, max_texts: int = 40_000, max_words: int = 20_000, t
     words = max(counts.count(), 1)
     x, y, part = F.col("toxic"), F.col("clean"), lambda seen, expected: F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0)
     excess = 2 * (part(x, (x + y) * prior) + part(y, (x + y) * (1 - prior)))
-    telling = (excess > 2 * float(np.log(words * 10))) & (x > (x + y) * (0.5 + prior / 2))
-    positive = [bytes(r[0]) for r in counts.filter(telling).orderBy(F.desc(excess), "word").limit(max_words // 4).collect()]
+    telling = (excess > 2 * float(np.log(words * 10))) & (y <= IMPURE * (x + y))
+    candidates = [bytes(r[0]) for r in counts.filter(telling).orderBy(F.desc(excess), "word").limit(max_words // 4).collect()]
+    positive = _explaining(rows.filter("label = 1"), candidates)
     if not positive:
         return flat
     clean = counts.filter((y > 0) & ~telling & (x <= (x + y) * 0.5))
     share = F.pmod(F.xxhash64("word"), F.lit(1 << 20)) < int(min(1, max_words / 2 / words) * (1 << 20))
-    negative = [bytes(r[0]) for r in clean.filter(share).select("word").collect()] or [b"none"]
+    negative = sorted(bytes(r[0]) for r in clean.filter(share).select("word").collect()) or [b"none"]
     for _ in range(2):
-        weights, bias = train(sorted(positive), sorted(negative))
+        weights, bias = train(_broken_up(positive), negative)
         hard = _hard(clean, weights, bias).orderBy(F.desc("margin"), "word").limit(max_words // 4).collect()
         negative = sorted({*negative, *(bytes(r[0]) for r in hard)})
-    weights, bias = train(sorted(positive), negative)
+    weights, bias = train(_broken_up(positive), negative)
+    own = _word_margins(candidates, weights, bias)
+    positive = sorted({*positive, *(w for w, m in zip(candidates, own) if m > 0)})
+    weights, bias = train(_broken_up(positive), negative)
     fitted = text_margins(rows, weights, bias, "id", "text", "label").select("margin", "label").toArrow()
     slope, intercept = _logistic(fitted.column(0).to_numpy(), fitted.column(1).to_numpy().astype(float))
     return Model(weights, bias, slope, intercept)
 
 
+def _broken_up(words: list[bytes]) -> list[bytes]:
+    """The words, and each with a mark put into it at three places."""
+    spots = lambda w: {2, len(w) // 2, len(w) - 2}
+    return sorted({*words, *(w[:k] + b"*" + w[k:] for w in words for k in spots(w))})
+
+
+def _explaining(toxic: DataFrame, candidates: list[bytes]) -> list[bytes]:
+    """Candidates that explain the toxic texts, the one that explains most of those left first (a greedy cover)."""
+    known = frozenset(candidates)
+
+    def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        found = []
+        for at, end, data, offsets in C.text_steps(batch, "text"):
+            for i in range(end - at):
+                tight, starts, ends, _ = closed_up(data[offsets[i]:offsets[i + 1]], np.array([0, offsets[i + 1] - offsets[i]]))
+                raw = tight.tobytes()
+                found.append(sorted({raw[a:b] for a, b in zip(starts.tolist(), ends.tolist())} & known))
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.binary()))], names=["words"])
+
+    held = [[bytes(w) for w in r[0]] for r in C.per_batch(toxic.select("text"), work, "words array<binary>").collect()]
+    texts: dict[bytes, set[int]] = {}
+    for k, found in enumerate(held):
+        for word in found:
+            texts.setdefault(word, set()).add(k)
+    left = {w: len(t) for w, t in texts.items()}
+    open_, chosen = set(range(len(held))), []
+    while left:
+        word = max(left, key=lambda w: (left[w], w))
+        if left[word] < EXPLAINS:
+            break
+        chosen.append(word)
+        for k in texts[word] & open_:
+            for other in held[k]:
+                left[other] -= 1
+        open_ -= texts[word]
+    return sorted(chosen)
+
+
+def _word_margins(words: list[bytes], weights: np.ndarray, bias: float) -> np.ndarray:
+    row, column, value = _features(words)
+    return np.bincount(row, weights[column] * value, len(words)) + bias
+
+
 def _hard(clean: DataFrame, weights: np.ndarray, bias: float) -> DataFrame:
     """Words of clean texts on the wrong side of the margin."""
 
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         words = batch.column(0).to_pylist()
         if words:
-            row, column, value = _features(words)
-            found = np.bincount(row, weights[column] * value, len(words)) + bias
+            found = _word_margins(words, weights, bias)
             keep = found > -0.9
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), pa.array(found[keep])], names=["word", "margin"])
 
