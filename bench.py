@@ -18,6 +18,7 @@ HEADLINE = [
     "execution_strength", "asof_funding", "funding_paths", "assess_funders", "inflow_events", "wallet_age", "wallet_history", "recurring_groups",
     "wallet_overlap_pairs", "creator_graduations", "holder_concentration", "wallet_exits", "sell_coordination", "connected_components_hubs",
     "bundle_score", "risk_report", "match_recurring", "evidence", "score_delta", "stream_trade_volume",
+    "behaviour_groups", "assoc_edges", "graph_edges", "funding_events", "decode_events",
 ]
 
 

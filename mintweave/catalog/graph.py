@@ -50,7 +50,7 @@ e AS (SELECT fp.mint, src, dst, 1.0::DOUBLE / greatest(1.0::DOUBLE, sqrt(n - 1))
 SELECT mint, src, dst, round(sum(w), 6) AS weight, string_agg(rel, ',' ORDER BY rel) AS relations FROM e GROUP BY ALL""")
 def _(spark, sf):
     f, _, private, _, hops = groups(spark, sf)
-    out = G.assoc_edges(private, hops, f, T.first_buyers(B.tape_c(spark, sf), 50))
+    out = G.assoc_edges(private, hops, f, T.first_buyers(B.tape_c(spark, sf), None))
     return out.select("mint", "src", "dst", F.round("weight", 6).alias("weight"), F.array_join("relations", ",").alias("relations"))
 
 
@@ -88,10 +88,10 @@ def _(spark, sf):
 
 
 def associations(spark, sf):
-    """Association edges including shared history, over the first 50 buyers."""
+    """Association edges including shared history, over all buyers."""
     f, _, private, _, hops = groups(spark, sf)
     tape = B.tape_c(spark, sf)
-    early = T.first_buyers(tape, 50)
+    early = T.first_buyers(tape, None)
     overlaps = H.wallet_overlap_pairs(early, W.participation(tape))
     return cut(G.assoc_edges(private, hops, f, early, overlaps), "assoc")
 
@@ -109,7 +109,7 @@ def _(spark, sf):
 
 def behaviour_profiles(spark, sf):
     tape = B.tape_c(spark, sf)
-    first = T.with_seconds(T.first_buyers(tape, 50), B.launches(spark, sf))
+    first = T.with_seconds(T.first_buyers(tape, None), B.launches(spark, sf))
     ages = W.wallet_age(first, B.launches(spark, sf), B.wallet_tx(spark, sf)).select("mint", "wallet", "age_seconds")
     f = funded(spark, sf).select("mint", "wallet", "funding_amount", "funding_to_buy_seconds")
     return first.join(ages, ["mint", "wallet"]).join(f, ["mint", "wallet"])
@@ -184,7 +184,7 @@ def display_parts(spark, sf):
     tape = B.tape_c(spark, sf)
     made = B.launches(spark, sf)
     creators = C.creator_funding(made, M.upstream_of(B.transfers(spark, sf))).withColumn("creator_risk", F.col("mint") % 100)
-    first = T.first_buyers(tape, 50)
+    first = T.first_buyers(tape, None)
     profiles = first.select("mint", "wallet").join(T.token_position(tape), ["mint", "wallet"]).withColumn("entity_type", F.lit("BUYER")).withColumn(
         "label", F.lit(None).cast("string")).withColumn("sol_balance", F.lit(0.0)).withColumn("age_seconds", F.lit(1.0)).withColumn("risk_score", F.col("mint") % 90)
     p = cut(paths(spark, sf), "paths")
@@ -384,7 +384,7 @@ g AS (SELECT m.mint, m.cluster_id, other, {LIST} AS wallets, count(*) AS n FROM
 SELECT mint, cluster_id, other::VARCHAR AS item, wallets, round(least(0.9::DOUBLE, 0.45::DOUBLE + 0.1::DOUBLE * n), 6) AS strength FROM (SELECT *, row_number() OVER (PARTITION BY mint, cluster_id ORDER BY n DESC, other) AS r FROM g) WHERE r <= 4""")
 def _(spark, sf):
     tape = B.tape_c(spark, sf)
-    early = T.first_buyers(tape, 50)
+    early = T.first_buyers(tape, None)
     parts = W.participation(tape)
     members = early.select("mint", F.lit(1).alias("cluster_id"), "wallet")
     return shown(V.evidence_repeat(members, H.recurring_groups(early, parts), parts))

@@ -376,7 +376,7 @@ s AS (SELECT x.mint, x.cluster_id, sum(overlap) AS o FROM pair_overlaps po JOIN
 SELECT mint, cluster_id, round(CASE WHEN size > 1 THEN coalesce(o, 0) / (size * (size - 1) / 2.0::DOUBLE) ELSE 0 END, 6) AS historical_overlap FROM sizes LEFT JOIN s USING (mint, cluster_id)""")
 def _(spark, sf):
     tape = B.tape_c(spark, sf)
-    overlaps = H.wallet_overlap_pairs(T.first_buyers(tape, 50), W.participation(tape))
+    overlaps = H.wallet_overlap_pairs(T.first_buyers(tape, None), W.participation(tape))
     return K.historical_overlap(year_clusters(spark, sf), overlaps).withColumn("historical_overlap", F.round("historical_overlap", 6))
 
 

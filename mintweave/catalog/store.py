@@ -241,7 +241,7 @@ def _(spark, sf):
 
 @query("members_hash", "tape_l", sql="SELECT mint, substr(sha256(array_to_string(list_sort(list(DISTINCT wallet::VARCHAR)), '|')), 1, 16) AS members_hash FROM tape WHERE is_buy GROUP BY mint")
 def _(spark, sf):
-    early = T.first_buyers(B.tape_l(spark, sf), 100)
+    early = T.first_buyers(B.tape_l(spark, sf), None)
     return early.groupBy("mint").agg(S.members_hash(F.collect_set(F.col("wallet").cast("string"))).alias("members_hash"))
 
 

@@ -125,7 +125,7 @@ p AS (SELECT DISTINCT mint AS other_mint, wallet FROM tape)
 SELECT mint, other_mint, count(*) AS wallets FROM first_buys JOIN p USING (wallet) WHERE mint <> other_mint GROUP BY ALL HAVING count(*) >= 3""")
 def _(spark, sf):
     tape = B.tape_c(spark, sf)
-    return H.recurring_groups(T.first_buyers(tape, 50), W.participation(tape))
+    return H.recurring_groups(T.first_buyers(tape, None), W.participation(tape))
 
 
 @query("recurring_groups_hot_launch", "tape_b", sql=f"""WITH {FIRST}, e AS (SELECT *, row_number() OVER (PARTITION BY mint ORDER BY {B.ORDER_SQL}) AS k FROM first_buys),

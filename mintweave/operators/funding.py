@@ -91,12 +91,14 @@ def asof_funding(
     the transfers alone do.
     """
     buys = first_buys.select("mint", "wallet", "block_time", "slot", F.col("signature").alias("buy_signature"))
+    wanted = buys.select("wallet").distinct()
+    transfers = transfers.join(wanted.withColumnRenamed("wallet", "recipient"), "recipient", "left_semi")
     rows = transfers.select(
         F.col("recipient").alias("wallet"), *ORDER, "signature", "source", "asset", "amount", "recipient_before",
         "recipient_after", F.lit(True).alias("_inflow"),
     )
     if other_tx is not None:
-        plain = other_tx.filter("err is null").select(
+        plain = other_tx.filter("err is null").join(wanted.withColumnRenamed("wallet", "address"), "address", "left_semi").select(
             F.col("address").alias("wallet"), *ORDER, "signature", F.lit(False).alias("_inflow")
         )
         plain = plain.join(rows.select("wallet", "signature"), ["wallet", "signature"], "left_anti")

@@ -226,13 +226,14 @@ def _small_star(state: DataFrame) -> DataFrame:
     return moved.unionByName(low.select("mint", "u", F.col("_m").alias("v"))).distinct()
 
 
-def communities(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
+def communities(edges: DataFrame) -> DataFrame:
     """Modularity communities of every launch's weighted graph: ``mint, wallet, community``.
 
     Greedy agglomeration in parallel: each round every community names the merge
     with the largest modularity gain and mutual choices are merged.  Disjoint
     merges add up, so modularity only grows; ties go to the lowest pair, so the
-    result is deterministic.  Stops when no merge gains.
+    result is deterministic.  Stops when no merge gains; every round merges at
+    least the pair with the largest gain, so it ends.
     """
     pairs = edges.select("mint", "src", "dst", "weight")
     total = cut(pairs.groupBy("mint").agg(F.sum("weight").alias("m")), "weights")
@@ -240,7 +241,7 @@ def communities(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
     degree = cut(ends.groupBy("mint", "c").agg(F.sum("weight").alias("k")), "weights")
     links = cut(pairs.select("mint", F.col("src").alias("a"), F.col("dst").alias("b"), F.col("weight").alias("w")), "weights")
     label = degree.select("mint", F.col("c").alias("wallet"), F.col("c").alias("community"))
-    for _ in range(max_rounds):
+    while True:
         ka, kb = (degree.select("mint", F.col("c").alias(x), F.col("k").alias(f"k{x}")) for x in ("a", "b"))
         gain = F.col("w") / F.col("m") - F.col("ka") * F.col("kb") / (2 * F.col("m") * F.col("m"))
         gains = links.join(total, "mint").join(ka, ["mint", "a"]).join(kb, ["mint", "b"]).withColumn("g", gain).filter("g > 1e-12")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from itertools import combinations
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -133,7 +136,7 @@ def match_recurring(
 
     Similarity is ``0.6 * member overlap + 0.4 * equal shape buckets``.  Shape
     alone reaches 0.4, so above that a shared member is necessary and an
-    equi-join on members is exact.  Below it the equal-shape pairs are added.
+    equi-join on members is exact.  Below it pairs with enough equal buckets are added.
 
     A wallet in more than ``hot_degree`` stored clusters would pair them all.
     Clusters have three members or more, so a single shared wallet is worth 0.2
@@ -174,8 +177,18 @@ def match_recurring(
         found = found.unionByName(alone)
     scored = found.select(*ids, (0.6 * F.col("_both") / F.least("_n", "_m") + 0.4 * F.col("_equal")).alias("similarity"))
     if threshold <= 0.4:
-        shaped = left.join(right, same).filter(other & ~F.arrays_overlap("members", "_k_members")).select(*ids, F.lit(0.4).alias("similarity"))
-        scored = scored.unionByName(shaped)
+        need = math.ceil(threshold / 0.4 * 5 - 1e-9)
+        if need < 1:
+            raise ValueError("a threshold that no bucket needs to meet pairs all clusters")
+        # pairs without a shared member: one equi-join per choice of buckets that must be equal
+        apart = other & ~F.arrays_overlap("members", "_k_members")
+        for chosen in combinations(range(len(SHAPE)), need):
+            fewer = [~same[k] for k in range(max(chosen)) if k not in chosen]
+            # counted at its first equal buckets only
+            shaped = left.join(right, [same[k] for k in chosen]).filter(apart)
+            for condition in fewer:
+                shaped = shaped.filter(condition)
+            scored = scored.unionByName(shaped.select(*ids, (0.4 * equal).alias("similarity")))
     hits = scored.filter(F.col("similarity") >= threshold - 1e-12)
     per_mint = hits.groupBy("mint", "cluster_id", "other_mint").agg(F.max("similarity").alias("similarity"))
     total = per_mint.groupBy("mint", "cluster_id").agg(F.count(F.lit(1)).alias("matches"), F.max("similarity").alias("best_similarity"))

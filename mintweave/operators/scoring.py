@@ -85,9 +85,9 @@ def top_contributions(scored: DataFrame, n: int = 8) -> DataFrame:
 def score_explanation(scored: DataFrame, n: int = 8) -> DataFrame:
     """Text lines of a score: its largest parts, then the floor or the ceiling."""
     parts = F.filter("contributions", lambda c: c["points"] > 0)
-    ordered = F.slice(F.array_sort(F.transform(parts, lambda c: F.struct((-c["points"]).alias("k"), c["label"].alias("l")))), 1, n)
+    ordered = F.slice(F.array_sort(F.transform(parts, lambda c, i: F.struct((-c["points"]).alias("k"), i.alias("i"), c["label"].alias("l")))), 1, n)
     lines = F.transform(ordered, lambda c: F.concat(F.lit("+"), F.bround(-c["k"]).cast("int").cast("string"), F.lit(" "), c["l"]))
-    floor = F.when(F.col("floor").isNotNull(), F.concat(F.lit("raised to 78: "), F.col("atomic_size").cast("string"), F.lit(" buyers inside one transaction")))
+    floor = F.when(F.col("floor").isNotNull(), F.concat(F.lit(f"raised to {P.ATOMIC_FLOOR:.0f}: "), F.col("atomic_size").cast("string"), F.lit(" buyers inside one transaction")))
     ceiling = F.when(
         F.col("ceiling").isNotNull(),
         F.concat(F.lit("capped at "), F.col("ceiling").cast("int").cast("string"), F.lit(": "), F.col("families").cast("string"), F.lit(" independent families fired")),

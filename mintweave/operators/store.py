@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,13 +44,6 @@ def mint_bucket(mint: Column, buckets: int = 256) -> Column:
     return F.pmod(F.xxhash64(mint), F.lit(buckets)).cast("int")
 
 
-def write_by_bucket(df: DataFrame, path: str, buckets: int = 256) -> None:
-    """Replace only the buckets present in ``df`` (dynamic partition overwrite)."""
-    df.withColumn("bucket", mint_bucket(F.col("mint"), buckets)).write.mode("overwrite").option(
-        "partitionOverwriteMode", "dynamic"
-    ).partitionBy("bucket").parquet(path)
-
-
 def save_clusters(spark: SparkSession, path: str, new: DataFrame, buckets: int = 256) -> None:
     """Store clusters so that a rescanned launch keeps only its newest ones.
 
@@ -61,10 +53,9 @@ def save_clusters(spark: SparkSession, path: str, new: DataFrame, buckets: int =
     from mintweave.session import cut
 
     fresh = new.withColumn("bucket", mint_bucket(F.col("mint"), buckets))
-    try:
-        stored = spark.read.parquet(path)
-    except AnalysisException:  # first write
-        stored = None
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+    stored = spark.read.parquet(path) if there else None
     merged = fresh if stored is None else replace_clusters(
         stored.join(fresh.select("bucket").distinct(), "bucket", "left_semi").select(*fresh.columns), fresh
     )

@@ -43,8 +43,11 @@ def first_buys(trades: DataFrame, keep: tuple[str, ...] = ("fee_payer",)) -> Dat
     return buys(trades).groupBy("mint", "wallet").agg(head).select("mint", "wallet", "_first.*")
 
 
-def first_buyers(trades: DataFrame, n: int) -> DataFrame:
-    """The first ``n`` distinct buyers of each launch, with the position of their first buy."""
+def first_buyers(trades: DataFrame, n: int | None) -> DataFrame:
+    """The first ``n`` distinct buyers of each launch (all of them for ``None``), with the position of their first buy."""
+    if n is None:
+        ranked = ordered_position(first_buys(trades), ["mint"], "block_time", TAPE_TIES, out="position")
+        return ranked.withColumn("position", (F.col("position") + 1).cast("int"))
     return first_n(first_buys(trades), ["mint"], TAPE_ORDER, n)
 
 

@@ -52,6 +52,7 @@ def wallet_age(
     With ``page_cap`` only the newest ``page_cap`` entries count and a full page
     makes the age a lower bound; by default the whole history is read.
     """
+    wallet_tx = wallet_tx.join(first_buys.select(F.col("wallet").alias("address")).distinct(), "address", "left_semi")
     rows = wallet_tx if page_cap is None else newest_page(wallet_tx, page_cap)
     seen = rows.groupBy(F.col("address").alias("wallet")).agg(
         F.min("block_time").alias("first_seen"), F.count(F.lit(1)).alias("signatures")

@@ -124,8 +124,8 @@ def launch_scan(
         creators = t.launches.select("mint", F.lit(0).alias("dev_risk"))
 
     # Groups.
-    sponsors = cut(X.sponsor_members(trades), "sponsors")
-    atomic = cut(X.atomic_members(trades), "atomic")
+    sponsors = cut(X.sponsor_members(trades, buyers), "sponsors")
+    atomic = cut(X.atomic_members(trades, buyers), "atomic")
     overlaps = cut(H.wallet_overlap_pairs(who, parts), "overlaps") if deep else None
     assoc = cut(G.assoc_edges(private, private_hops, funding, who, overlaps), "assoc")
     components = G.connected_components(assoc).withColumnRenamed("component", "source")
@@ -159,7 +159,7 @@ def launch_scan(
     subjects = cut(members.unionByName(bare.select(*members.columns)), "subjects")
     findings = [
         V.evidence_atomic(subjects, atomic),
-        V.evidence_fee_payer(subjects, sponsors, X.sponsor_signatures(trades)),
+        V.evidence_fee_payer(subjects, sponsors, X.sponsor_signatures(trades, buyers)),
         V.evidence_common_funder(subjects, private, funding),
         V.evidence_infra_funder(subjects, infra, funding),
         V.evidence_intermediary(subjects, private_hops),

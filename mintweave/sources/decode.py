@@ -310,6 +310,8 @@ def trades_from_events(trade: DataFrame, buys: DataFrame, sells: DataFrame, pool
         )
 
     if pools is None:
+        if buys is not None or sells is not None:
+            raise ValueError("pool trades need the table of pools that names their mints")
         return curve, curve.limit(0)
     return curve, pooled(buys, True, "quote_amount_in", "base_amount_out").unionByName(pooled(sells, False, "quote_amount_out", "base_amount_in"))
 

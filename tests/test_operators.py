@@ -190,6 +190,37 @@ def test_recurring_clusters(spark, threshold):
         assert got["a"] == (2, 0.8) and got["d"] == (2, 0.4)
 
 
+@pytest.mark.parametrize("threshold", [0.2, 0.3, 0.4])
+def test_recurring_clusters_by_shape_alone(spark, threshold):
+    """Below 0.4 pairs without a shared member count when enough buckets agree."""
+    rng = random.Random(4)
+    rows = [(f"m{i}", 1, *(rng.choice("xy") for _ in range(5)), "h", [f"{i}a", f"{i}b", rng.choice(["s", f"{i}c"])]) for i in range(24)]
+    df = spark.createDataFrame(rows, "mint string, cluster_id int, size_bucket string, topology string, timing_bucket string, purchase_bucket string, age_bucket string, members_hash string, members array<string>")
+    want = {}
+    for x in rows:
+        sims = [0.6 * len(set(x[8]) & set(y[8])) / 3 + 0.4 * sum(p == q for p, q in zip(x[2:7], y[2:7])) / 5 for y in rows if y[0] != x[0]]
+        hits = [v for v in sims if v >= threshold - 1e-12]
+        if hits:
+            want[x[0]] = (len(hits), round(max(hits), 9))
+    assert {r.mint: (r.matches, round(r.best_similarity, 9)) for r in H.match_recurring(df, df, threshold).collect()} == want
+
+
+def test_no_hidden_buyer_limit(spark):
+    """A launch of 150 buyers is numbered whole, and sponsor groups follow the limit given."""
+    rows = [trade(f"w{i:03d}", i, payer="boss" if i >= 110 else None) for i in range(150)]
+    df = tape(spark, *rows)
+    assert sorted((r.position, r.wallet) for r in T.first_buyers(df, None).collect()) == [(i + 1, f"w{i:03d}") for i in range(150)]
+    assert X.sponsor_members(df, 100).count() == 0 and X.sponsor_members(df, 150).count() == 40
+
+
+def test_explanation_keeps_the_order_of_equal_parts(spark):
+    base = {s: 1.0 for s in K.SIGNALS} | dict(fresh_share=0.0, mayhem_share=0.0, atomic_share=0.0, atomic_size=0, funder_is_infrastructure=False)
+    df = R.bundle_score(spark.createDataFrame([("m", 1, *base.values())], ["mint", "cluster_id", *base]))
+    labels = [r.label for r in R.top_contributions(df).orderBy("rank").collect()]
+    lines = R.score_explanation(df).first().lines
+    assert [line.split(" ", 1)[1] for line in lines[: len(labels)]] == labels
+
+
 @pytest.mark.parametrize("hot", [2, 15, 10_000])
 def test_recurring_clusters_match_brute_force(spark, hot):
     rng = random.Random(12)
@@ -248,6 +279,12 @@ def test_communities_find_two_cliques(spark):
     assert G.modularity(edges, labels).first().modularity == pytest.approx(0.4917, abs=1e-3)
 
 
+def test_communities_of_a_star_are_finished(spark):
+    """A star merges one leaf per round; no number of rounds cuts it short."""
+    edges = spark.createDataFrame([("m", "a", f"b{i}", 1.0) for i in range(6)], "mint string, src string, dst string, weight double")
+    assert {r.community for r in G.communities(edges).collect()} == {"a"}
+
+
 def test_density_groups(spark):
     rows = [("m", w, i, *p) for i, (w, p) in enumerate({
         "a": (0.0, 0.0, 0.0, 0.0, 0.0), "b": (0.1, 0.0, 0.0, 0.0, 0.0), "c": (0.2, 0.0, 0.0, 0.0, 0.0), "edge": (0.9, 0.0, 0.0, 0.0, 0.0),
