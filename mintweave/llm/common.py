@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step handles; a longer single text is one step of its own.
 STEP_BYTES = 1 << 19
+#: Bits of the filter that spares most texts a shuffle; a fixed 1 MB.
+FILTER = 1 << 23
 
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -140,3 +142,36 @@ def per_batch(frame: DataFrame, work: Callable[[pa.RecordBatch], Iterator[pa.Rec
 def binary_array(pieces: list[np.ndarray]) -> pa.Array:
     """One binary value per numpy array."""
     return pa.array([p.tobytes() for p in pieces], pa.binary())
+
+
+def _slots(ids: pa.Array) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return (mix(ids.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)) % np.uint64(FILTER)).astype(np.int64)
+
+
+def likely(docs: DataFrame, wanted: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """Rows whose id may be in ``wanted``, and rows whose id is not: a bitmap of hashed ids, one fixed size for any input.
+
+    It keeps most texts out of a join's shuffle; the join itself decides.
+    """
+
+    def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(FILTER, bool)
+        for batch in batches:
+            bits[_slots(batch.column(0))] = True
+        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], names=["bits"])
+
+    whole = np.zeros(FILTER // 8, np.uint8)
+    for part in wanted.mapInArrow(marks, "bits binary").toLocalIterator():
+        whole |= np.frombuffer(part[0], np.uint8)
+    shared = docs.sparkSession.sparkContext.broadcast(whole)
+
+    spot = docs.columns.index(key)
+
+    def pick(value: bool) -> DataFrame:
+        def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            yield batch.filter(pa.array(np.unpackbits(shared.value).astype(bool)[_slots(batch.column(spot))] == value))
+
+        return per_batch(docs, work, docs.schema)
+
+    return pick(True), pick(False)

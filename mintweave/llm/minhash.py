@@ -38,8 +38,6 @@ WIDE = 1366
 LARGE = 1024
 #: Documents compared with each other in one task.
 TILE = 1024
-#: Bits of the filter that spares most texts a shuffle; a fixed 1 MB.
-FILTER = 1 << 23
 #: Standard deviations of the estimate that a candidate may lie below the threshold.
 SLACK = 5.0
 EMPTY = 0
@@ -166,34 +164,6 @@ def plausible(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFra
     return C.per_batch(both, work, "a long, b long")
 
 
-def likely(docs: DataFrame, wanted: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
-    """Rows whose id may be in ``wanted``, and rows whose id is not: a bitmap of hashed ids, one fixed size for any input.
-
-    It keeps most texts out of a join's shuffle; the join itself decides.
-    """
-
-    def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(FILTER, bool)
-        for batch in batches:
-            bits[_slots(batch.column(0))] = True
-        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], names=["bits"])
-
-    whole = np.zeros(FILTER // 8, np.uint8)
-    for part in wanted.mapInArrow(marks, "bits binary").toLocalIterator():
-        whole |= np.frombuffer(part[0], np.uint8)
-    shared = docs.sparkSession.sparkContext.broadcast(whole)
-
-    spot = docs.columns.index(key)
-
-    def pick(value: bool) -> DataFrame:
-        def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            yield batch.filter(pa.array(np.unpackbits(shared.value).astype(bool)[_slots(batch.column(spot))] == value))
-
-        return C.per_batch(docs, work, docs.schema)
-
-    return pick(True), pick(False)
-
-
 def shingle_sets(docs: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFrame:
     """``id, members`` (sorted 64-bit shingles) of the documents in ``wanted``."""
 
@@ -206,15 +176,10 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, key: str, text: str) -> Dat
                 at, found = at + len(found), []
 
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    kept = likely(rows.filter("id is not null"), wanted, "id")[0].join(wanted, "id", "left_semi")
+    kept = C.likely(rows.filter("id is not null"), wanted, "id")[0].join(wanted, "id", "left_semi")
     return C.per_batch(kept, sets, "id long, members binary")
 
 
-def _slots(ids: pa.Array) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return (C.mix(ids.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)) % np.uint64(FILTER)).astype(np.int64)
-
-
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs whose whole sets satisfy ``100 * |A n B| >= percent * |A u B|``."""
 
@@ -308,6 +273,6 @@ def representatives(docs: DataFrame, percent: int = 75, key: str = "doc_id", tex
     """The rows, all columns as they are, that no smaller id of their component replaces; a null id is kept."""
     found = near_duplicates(docs.filter(F.col(key).isNotNull()), percent, key, text)
     gone = cut(found.filter("id <> component_id").select("id"), "gone")
-    maybe, surely = likely(docs.filter(F.col(key).isNotNull()), gone, key)
+    maybe, surely = C.likely(docs.filter(F.col(key).isNotNull()), gone, key)
     stay = maybe.join(gone, maybe[key] == gone["id"], "left_anti")
     return stay.unionByName(surely).unionByName(docs.filter(F.col(key).isNull()))

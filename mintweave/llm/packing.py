@@ -27,14 +27,52 @@ from mintweave.session import cut
 
 BINS = 256
 #: Words whose ids a worker remembers before it starts afresh.
-REMEMBERED = 400_000
+REMEMBERED = 800_000
+#: Bytes of text whose units are looked up together.
+STEP = 1 << 20
+#: Words that are encoded in one call, and the mark between them.
+TOGETHER = 256
+MARK = "\x01"
 PIECE = "id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
+#: 1: ASCII letters and digits, 2: other printable ASCII but the apostrophe.
+KIND = np.zeros(256, np.uint8)
+KIND[33:127] = 2
+KIND[[*range(48, 58), *range(65, 91), *range(97, 123)]] = 1
+KIND[39] = 0
+
+
+def units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words, cut further where letters or digits meet marks: starts, ends, and units before each text."""
+    starts, ends, first = C.word_spans(data, offsets)
+    if not len(starts):
+        return starts, ends, first
+    kind = KIND[data]
+    inner = np.flatnonzero((kind[1:] + kind[:-1] == 3) & (kind[1:] * kind[:-1] == 2)) + 1
+    # two texts may meet without a blank
+    inner = inner[~np.isin(inner, offsets)]
+    begin = np.sort(np.concatenate([starts, inner]))
+    return begin, np.sort(np.concatenate([ends, inner])), np.searchsorted(begin, offsets)
+
+
+_coders: dict[int, WordIds] = {}
+
+
+def coder_of(definition: str) -> WordIds:
+    """One coder per worker process, so that tasks share what it remembers."""
+    key = hash(definition)
+    if key not in _coders:
+        _coders.clear()
+        _coders[key] = WordIds(definition)
+    return _coders[key]
+
+
 class WordIds:
-    """Token ids of whole texts, each distinct word encoded once.
+    """Token ids of whole texts, each distinct unit encoded once.
 
-    Right for tokenizers that drop white space and never join two words, which the caller vouches for.
+    Right for tokenizers that lower-case, drop white space and never join letters, digits and marks, which the
+    caller vouches for.
     """
 
     def __init__(self, definition: str) -> None:
@@ -43,6 +81,9 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_str(definition)
         self.tokenizer.encode_special_tokens = True
+        # a word of its own between words, told by its one id; a tokenizer without such an id has words sent singly
+        mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
+        self.mark = mark[0] if len(mark) == 1 and self.tokenizer.encode(f"a {MARK} {MARK} b", add_special_tokens=False).ids[1:3] == mark * 2 else None
         self._clear()
 
     def _clear(self) -> None:
@@ -51,23 +92,33 @@ class WordIds:
         self.flat = np.zeros(1 << 18, np.uint32)
         self.used = self.filled = 0
 
+    def _encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words end to end, and how many each has."""
+        if self.mark is None or any(MARK in w for w in words):
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+            return np.fromiter((t for ids in found for t in ids), np.uint32), np.fromiter(map(len, found), np.int64, len(found))
+        lines = [f" {MARK} ".join(words[at:at + TOGETHER]) + f" {MARK}" for at in range(0, len(words), TOGETHER)]
+        ids = np.concatenate([np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)])
+        ends = np.flatnonzero(ids == self.mark)
+        return np.delete(ids, ends), np.diff(ends, prepend=-1) - 1
+
     def _add(self, words: list[str], keys: list[int]) -> None:
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        length = np.fromiter(map(len, found), np.int64, len(found))
-        total = int(length.sum())
+        ids, length = self._encoded(words)
+        total = len(ids)
         if self.used + len(words) + 1 > len(self.first):
             self.first = np.concatenate([self.first, np.zeros(len(self.first) + len(words), np.int64)])
         if self.filled + total > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros(len(self.flat) + total, np.uint32)])
         self.first[self.used + 1:self.used + 1 + len(words)] = self.filled + np.cumsum(length)
-        self.flat[self.filled:self.filled + total] = np.fromiter((t for ids in found for t in ids), np.uint32, total)
+        self.flat[self.filled:self.filled + total] = ids
         self.slots.update(zip(keys, range(self.used, self.used + len(words))))
         self.used += len(words)
         self.filled += total
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, and where each text's begin."""
-        starts, ends, first = C.word_spans(data, offsets)
+        data = C.LOWER[data]
+        starts, ends, first = units(data, offsets)
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
         keys, spot, back = np.unique(C.word_hashes(data, starts, ends), return_index=True, return_inverse=True)
@@ -81,10 +132,10 @@ class WordIds:
             where = spot[new]
             self._add([raw[a:b].decode("utf-8", "replace") for a, b in zip(starts[where].tolist(), ends[where].tolist())], [names[k] for k in new])
         slot = np.fromiter(map(have.__getitem__, names), np.int64, len(names))
-        begin, size = self.first[slot], self.first[slot + 1] - self.first[slot]
+        begin, size = self.first[slot].astype(np.int32), (self.first[slot + 1] - self.first[slot]).astype(np.int32)
         size = size[back]
-        stops = np.append(0, np.cumsum(size))
-        ids = self.flat[np.repeat(begin[back] - stops[:-1], size) + np.arange(stops[-1])]
+        stops = np.append(np.int32(0), np.cumsum(size, dtype=np.int32))
+        ids = self.flat[np.repeat(begin[back] - stops[:-1], size) + np.arange(stops[-1], dtype=np.int32)]
         return ids, stops[first]
 
 
@@ -93,11 +144,11 @@ def measured(docs: DataFrame, definition: str, window: int, end_id: int) -> Data
     shared = docs.sparkSession.sparkContext.broadcast(definition)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = WordIds(shared.value)
+        coder = coder_of(shared.value)
         for batch in batches:
             keys = batch.column(0).to_pylist()
             rows = []
-            for at, end, data, offsets in C.text_steps(batch, "text"):
+            for at, end, data, offsets in C.text_steps(batch, "text", STEP):
                 with np.errstate(over="ignore"):
                     ids, first = coder.encode(data, offsets)
                 for i in range(end - at):
@@ -111,14 +162,14 @@ def measured(docs: DataFrame, definition: str, window: int, end_id: int) -> Data
 def recut(docs: DataFrame, pieces: DataFrame, definition: str, end_id: int) -> DataFrame:
     """``pieces`` (id, start, length and more) with the checksum of their ids, for pieces cut after measuring."""
     shared = docs.sparkSession.sparkContext.broadcast(definition)
-    wanted = pieces.groupBy("id").agg(F.collect_list(F.struct("start", "length")).alias("cuts"))
+    wanted = cut(pieces.groupBy("id").agg(F.collect_list(F.struct("start", "length")).alias("cuts")), "cuts")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = WordIds(shared.value)
+        coder = coder_of(shared.value)
         for batch in batches:
             keys, cuts = batch.column(0).to_pylist(), batch.column(2).to_pylist()
             rows = []
-            for at, end, data, offsets in C.text_steps(batch, "text"):
+            for at, end, data, offsets in C.text_steps(batch, "text", STEP):
                 with np.errstate(over="ignore"):
                     ids, first = coder.encode(data, offsets)
                 for i in range(end - at):
@@ -126,7 +177,8 @@ def recut(docs: DataFrame, pieces: DataFrame, definition: str, end_id: int) -> D
                     rows += [(keys[at + i], c["start"], zlib.crc32(own[c["start"]:c["start"] + c["length"]].tobytes())) for c in cuts[at + i]]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)] if rows else [pa.array([], pa.int64())] * 3, names=["id", "start", "ids_crc32"])
 
-    sums = docs.join(wanted, "id").select("id", "text", "cuts").mapInArrow(work, "id long, start long, ids_crc32 long")
+    some = C.likely(docs.filter("id is not null"), wanted.select("id"), "id")[0]
+    sums = some.join(wanted, "id").select("id", "text", "cuts").mapInArrow(work, "id long, start long, ids_crc32 long")
     return pieces.drop("ids_crc32").join(sums, ["id", "start"])
 
 
