@@ -8,7 +8,6 @@ with the columns of documents; the last returns packed pieces.  Models are learn
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from mintweave.llm import common as C
 from mintweave.llm import langmix, minhash, packing, queries, toxicity
@@ -20,9 +19,8 @@ LANGUAGE_SHARE = 0.5
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts whose toxicity score reaches 0.3 go; null and empty texts stay."""
-    marks = C.table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("toxic").alias("_toxic"))
-    model = toxicity.fit(docs.select("doc_id", "text").join(marks, "doc_id"), label="_toxic")
-    return toxicity.accepted(docs, model)
+    sample = toxicity.labelled_sample(docs.select("doc_id", "text"), C.table(spark, sf_dir, "labels"))
+    return toxicity.accepted(docs, toxicity.fit(sample))
 
 
 def drop_unidentified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

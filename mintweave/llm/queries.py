@@ -38,16 +38,12 @@ def op10_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), (C.remainder("id", 4) == 2).alias("held_out"), "lang_pred", "score", "proportions")
 
 
-def _toxic_training(spark: SparkSession, sf_dir: str, docs: DataFrame) -> DataFrame:
-    marks = C.table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    return docs.filter(C.remainder("doc_id", 4) != 2).select("doc_id", "text").join(marks, "doc_id")
-
-
 @query
 def op7_subsequence_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document, learned from the labelled folds other than 2."""
     docs = C.table(spark, sf_dir, "documents")
-    out = toxicity.score(docs, toxicity.fit(_toxic_training(spark, sf_dir, docs)))
+    marks = C.table(spark, sf_dir, "labels").filter(C.remainder("doc_id", 4) != 2)
+    out = toxicity.score(docs, toxicity.fit(toxicity.labelled_sample(docs.select("doc_id", "text"), marks)))
     return out.select(F.col("id").alias("doc_id"), (C.remainder("id", 4) == 2).alias("held_out"), "score", "predicted", "margin")
 
 

@@ -230,6 +230,16 @@ def _word_counts(labelled: DataFrame) -> DataFrame:
     return labelled.select("text", "label").mapInArrow(work, "word binary, toxic long, clean long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
+def labelled_sample(docs: DataFrame, marks: DataFrame, max_texts: int = 40_000, key: str = "doc_id", label: str = "toxic") -> DataFrame:
+    """``docs`` with the label of ``marks``, at most ``max_texts`` of them, chosen by hashed id.
+
+    Repeated marks of an id count as the highest.  The chosen ids have a fixed bound, so they are broadcast and
+    no text is shuffled.
+    """
+    known = marks.filter(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(F.max(label).alias(label))
+    return docs.join(F.broadcast(known.orderBy(F.xxhash64(key), key).limit(max_texts)), key)
+
+
 def fit(labelled: DataFrame, max_texts: int = 40_000, max_words: int = 20_000, text: str = "text", label: str = "toxic", key: str = "doc_id") -> Model:
     """A model from ``key, text, label`` rows (label 0 or 1; rows with a null label are ignored, a null text is empty).
 
