@@ -71,7 +71,7 @@ def packed(docs: DataFrame, blocks: int) -> DataFrame:
         ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
         train = batch.column(2).to_numpy(zero_copy_only=False).astype(np.uint8)
         block = batch.column(3).to_numpy(zero_copy_only=False)
-        for at, end, data, offsets in C.text_steps(batch, "text", 8 << 20):
+        for at, end, data, offsets in C.text_steps(batch, "text", 2 << 20):
             body, length = normalised(data, offsets)
             stop = np.cumsum(length)
             rows = []
