@@ -29,7 +29,7 @@ from mintweave.llm import common as C
 from mintweave.session import cut
 
 ORDER = 5
-BLOCK = 32 << 20
+BLOCK = 12 << 20
 STRENGTH = 0.5
 #: Sweeps per job; the first ``BURN`` are not averaged.  Jobs before the last settle the one-byte contexts.
 SWEEPS, BURN, ROUNDS = 7, 3, 2
@@ -71,7 +71,7 @@ def packed(docs: DataFrame, blocks: int) -> DataFrame:
         ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
         train = batch.column(2).to_numpy(zero_copy_only=False).astype(np.uint8)
         block = batch.column(3).to_numpy(zero_copy_only=False)
-        for at, end, data, offsets in C.text_steps(batch, "text", 2 << 20):
+        for at, end, data, offsets in C.text_steps(batch, "text", 1 << 20):
             body, length = normalised(data, offsets)
             stop = np.cumsum(length)
             rows = []
@@ -102,7 +102,7 @@ def words(body: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return C.word_hashes(body, starts, ends), np.repeat(np.arange(len(length)), np.diff(first))
 
 
-def _steps(body: np.ndarray, length: np.ndarray, limit: int = 2 << 20) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+def _steps(body: np.ndarray, length: np.ndarray, limit: int = 1 << 19) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
     """Consecutive texts of about ``limit`` bytes."""
     stop = np.cumsum(length)
     at = 0
