@@ -16,7 +16,9 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +32,6 @@ BLOCK = 24 << 20
 LONG = 128
 NONE = 2**31 - 1
 SLOTS = 1 << 17
-STATE = "struct<ids:array<int>,ranks:array<int>>"
 
 
 def read_ranks(definition: str) -> dict[bytes, int]:
@@ -57,31 +58,29 @@ def rank_map(docs: DataFrame, ranks: dict[bytes, int]) -> Column:
 
 
 def folded(ids: Column, buckets: Column) -> Column:
-    """The ids left when every merge that applies has been made."""
+    """The ids left when every merge that applies has been made; ``ids`` has one id, or several between -1 and -1."""
 
     def merged(left: Column, right: Column) -> Column:
         key = F.shiftleft(left.cast("long"), 32) + right.cast("long")
         return F.coalesce(F.try_element_at(F.get(buckets, (left * 8191 + right) % SLOTS), key), F.lit(NONE))
 
-    none = F.array().cast("array<int>")
-
     def step(state: Column, _: Column) -> Column:
         old, ranks = state["ids"], state["ranks"]
-        low = F.array_min(ranks)
 
-        def joined(b: Column) -> Column:
-            m, p = b["m"], b["p"]
-            left = F.when(p > 1, F.array(merged(F.get(old, p - 2), m))).otherwise(none)
-            right = F.when(p < F.size(ranks), F.array(merged(m, F.get(old, p + 1)))).otherwise(none)
+        def joined(m: Column, p: Column) -> Column:
             new = F.concat(F.slice(old, F.lit(1), p - 1), F.array(m), F.slice(old, p + 2, F.size(old)))
-            return F.struct(new.alias("ids"), F.concat(F.slice(ranks, F.lit(1), F.greatest(p - 2, F.lit(0))), left, right, F.slice(ranks, p + 2, F.size(old))).alias("ranks"))
+            beside = F.array(merged(F.get(old, p - 2), m), merged(m, F.get(old, p + 1)))
+            return F.struct(new.alias("ids"), F.concat(F.slice(ranks, F.lit(1), p - 2), beside, F.slice(ranks, p + 2, F.size(old))).alias("ranks"))
 
-        bound = F.array(F.struct(low.alias("m"), F.array_position(ranks, low).cast("int").alias("p")))
-        return F.when(F.coalesce(low, F.lit(NONE)) < NONE, F.get(F.transform(bound, joined), F.lit(0))).otherwise(state)
+        # a transform over an array of one binds a value that is used several times
+        at = lambda m: F.get(F.transform(F.array(F.array_position(ranks, m).cast("int")), lambda p: joined(m, p)), F.lit(0))
+        return F.get(F.transform(F.array(F.array_min(ranks)), lambda m: F.when(m < NONE, at(m)).otherwise(state)), F.lit(0))
 
+    # -1 at both ends pairs with nothing, so every merge has two neighbours
     pairs = F.transform(F.sequence(F.lit(1), F.size(ids) - 1), lambda i: merged(F.get(ids, i - 1), F.get(ids, i)))
     start = F.struct(ids.alias("ids"), pairs.alias("ranks"))
-    return F.when(F.size(ids) < 2, ids).otherwise(F.aggregate(F.sequence(F.lit(2), F.size(ids)), start, step, lambda s: s["ids"]))
+    inner = lambda s: F.slice(s["ids"], F.lit(2), F.size(s["ids"]) - 2)
+    return F.when(F.size(ids) < 2, ids).otherwise(F.aggregate(F.sequence(F.lit(4), F.size(ids)), start, step, inner))
 
 
 def heap_merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -121,49 +120,60 @@ def encode(docs: DataFrame, definition: str, pattern: str, key: str = "doc_id",
         import regex
 
         find, known = regex.compile(pattern).findall, shared.value
-        number: dict[str, int] = {}
+        of_byte = np.array([known.get(bytes([b]), -1) for b in range(256)], np.int32)
+        number: defaultdict[str, int] = defaultdict(count().__next__)
         texts: list[tuple] = []
         size = 0
 
-        def byte_ids(word: str) -> list[int]:
-            raw = word.encode()
-            if raw in known:
-                return [known[raw]]
-            return heap_merge(raw, known) if len(raw) > LONG else [known[raw[i:i + 1]] for i in range(len(raw))]
-
-        def rows(keys: list, units: list, numbers: list) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(units, pa.list_(pa.int32())), pa.array(numbers, pa.binary())], names=["id", "bytes", "numbers"])
+        def start_ids(words: list[str]) -> pa.Array:
+            """Bytes of each word between -1 and -1; words of the vocabulary and long ones are done already."""
+            raw = [w.encode() for w in words]
+            done = {k: [known[r]] if r in known else [-1, *heap_merge(r, known), -1] for k, r in enumerate(raw) if r in known or len(r) > LONG}
+            length = np.array([len(done[k]) if k in done else len(r) + 2 for k, r in enumerate(raw)])
+            stops = np.append(0, np.cumsum(length)).astype(np.int32)
+            out = np.full(stops[-1], -1, np.int32)
+            plain = np.ones(len(raw), bool)
+            plain[list(done)] = False
+            size = length[plain] - 2
+            begin = stops[:-1][plain] + 1
+            inside = np.repeat(begin - np.append(0, np.cumsum(size)[:-1]), size) + np.arange(size.sum())
+            out[inside] = of_byte[np.frombuffer(b"".join(r for r, p in zip(raw, plain) if p), np.uint8)]
+            for k, found in done.items():
+                out[stops[k]:stops[k + 1]] = found
+            # between finished ids the fold finds nothing to merge
+            return pa.ListArray.from_arrays(pa.array(stops), pa.array(out))
+
+        def rows(keys: list, units: pa.Array | None, numbers: list) -> pa.RecordBatch:
+            units = pa.nulls(len(keys), pa.list_(pa.int32())) if units is None else units
+            return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), units, pa.array(numbers, pa.binary())], names=["id", "bytes", "numbers"])
 
         def block() -> Iterator[pa.RecordBatch]:
             words = list(number)
             # the first row of a block says how many words follow
-            yield rows([len(words)], [None], [None])
+            yield rows([len(words)], None, [None])
             for at in range(0, len(words), width):
                 part = words[at:at + width]
-                yield rows([None] * len(part), [byte_ids(w) for w in part], [None] * len(part))
+                yield rows([None] * len(part), start_ids(part), [None] * len(part))
             for at in range(0, len(texts), 512):
                 part = texts[at:at + 512]
-                yield rows([k for k, _ in part], [None] * len(part), [n for _, n in part])
+                yield rows([k for k, _ in part], None, [n for _, n in part])
 
         for batch in batches:
             for key_, value in zip(batch.column(0).to_pylist(), batch.column(1)):
                 words = find(value.as_py() or "")
-                for word in set(words):
-                    if word not in number:
-                        number[word] = len(number)
                 texts.append((key_, np.fromiter(map(number.__getitem__, words), np.int32, len(words)).tobytes()))
                 size += len(texts[-1][1])
                 if size > BLOCK:
                     yield from block()
-                    number, texts, size = {}, [], 0
+                    number, texts, size = defaultdict(count().__next__), [], 0
         if texts:
             yield from block()
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = {rank: token for token, rank in shared.value.items()}
-        counts: list[int] = []
-        digits: list[str] = []
-        decoded: list[bytes] = []
+        figures = [str(k) for k in range(max(pieces, default=0) + 1)]
+        parts: list[tuple] = []
+        table: tuple = ()
         left = 0
         names = ["id", "n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if ids else [])]
         for batch in batches:
@@ -171,20 +181,22 @@ def encode(docs: DataFrame, definition: str, pattern: str, key: str = "doc_id",
             out, at = [], 0
             while at < batch.num_rows:
                 if left:
-                    part = units.slice(at, min(left, batch.num_rows - at)).to_pylist()
-                    counts += map(len, part)
-                    digits += [" ".join(map(str, w)) for w in part]
-                    decoded += [b"".join(map(pieces.__getitem__, w)) for w in part]
-                    left -= len(part)
-                    at += len(part)
+                    part = units.slice(at, min(left, batch.num_rows - at))
+                    found = part.to_pylist()
+                    parts.append((np.array([len(w) for w in found]), [" ".join([figures[k] for k in w]) for w in found], [b"".join([pieces[k] for k in w]) for w in found]))
+                    left -= len(found)
+                    at += len(found)
+                    if not left:
+                        table = np.concatenate([p[0] for p in parts]), *(np.array([x for p in parts for x in p[k]] + [None], object)[:-1] for k in (1, 2))
+                        parts = []
                 elif not numbers[at].is_valid:
                     left = keys[at].as_py()
-                    counts, digits, decoded = [], [], []
                     at += 1
                 else:
-                    used = np.frombuffer(numbers[at].as_buffer(), np.int32).tolist()
-                    line = " ".join([digits[k] for k in used])
-                    row = (keys[at].as_py(), sum([counts[k] for k in used]), hashlib.sha256(line.encode()).hexdigest(), hashlib.sha256(b"".join([decoded[k] for k in used])).hexdigest())
+                    used = np.frombuffer(numbers[at].as_buffer(), np.int32)
+                    counts, digits, decoded = (t[used] for t in table) if len(used) else (np.zeros(0), [], [])
+                    line = " ".join(digits)
+                    row = (keys[at].as_py(), int(counts.sum()), hashlib.sha256(line.encode()).hexdigest(), hashlib.sha256(b"".join(decoded)).hexdigest())
                     out.append((*row, np.array(line.split(), "<u4").tobytes()) if ids else row)
                     at += 1
             if out:
