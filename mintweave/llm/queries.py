@@ -101,4 +101,4 @@ def op6_host_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every message of all conversations without quotes, with the message it answers."""
-    return quotes.conversations(C.table(spark, sf_dir, "conversations"))
+    return quotes.conversations(C.table(spark, sf_dir, "conversations"), unplaced=True)

@@ -15,10 +15,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from mintweave.operators.skew import last_before, ordered_position, previous_row
 from mintweave.session import cut
 
+#: A message: its row, and its place in the conversation.
+KEYS = ("_row", "conv_id", "turn", "_tie")
+#: Turns of a conversation that are ordered in one task.
+TURNS = 4096
+
 MARKS = r"^[ \t]*(>[ \t]?)+"
 ATTRIBUTION = r"(?i)^[ \t]*(on\b.*|.*)\bwrote:[ \t]*$"
 
@@ -60,50 +65,72 @@ def passages() -> Column:
 
 
 def hashed(messages: DataFrame) -> DataFrame:
-    """``conv_id, turn, level, hash, chars, whole`` of every passage and every line, each once per message and level."""
-    lines = F.transform("_lines", lambda x: F.struct(x["level"].alias("level"), x["said"].alias("said"), F.lit(False).alias("whole")))
-    runs = F.transform(passages(), lambda x: F.struct(x["level"].alias("level"), x["said"].alias("said"), F.lit(True).alias("whole")))
-    every = F.filter(F.concat(lines, runs), lambda x: (x["said"] != "") & (x["level"] >= 0))
-    rows = messages.select("conv_id", "turn", F.explode(every).alias("p"))
-    return rows.groupBy("conv_id", "turn", F.col("p.level").alias("level"), F.xxhash64("p.said").alias("hash")).agg(F.max(F.length("p.said")).alias("chars"), F.max("p.whole").alias("whole"))
+    """``_row, conv_id, turn, _tie, level, hash, chars`` of every passage and every line, each once per message and level."""
+    lines = F.transform("_lines", lambda x: F.struct(x["level"].alias("level"), x["said"].alias("said")))
+    every = F.filter(F.concat(lines, passages()), lambda x: (x["said"] != "") & (x["level"] >= 0))
+    rows = messages.select(*KEYS, F.explode(every).alias("p"))
+    return rows.groupBy(*KEYS, F.col("p.level").alias("level"), F.xxhash64("p.said").alias("hash")).agg(F.max(F.length("p.said")).alias("chars"))
 
 
 def links(messages: DataFrame) -> DataFrame:
-    """``conv_id, turn, level, original, passages, chars``: quoting message and the message it quotes at that level."""
-    found = cut(hashed(messages), "passages")
-    earlier = Window.partitionBy("conv_id", "hash").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
-    quoted = found.filter("level > 0").select("conv_id", "hash").distinct()
-    both = found.join(quoted, ["conv_id", "hash"], "left_semi")
-    at = both.withColumn("original", F.max(F.when(F.col("level") == 0, F.col("turn"))).over(earlier))
-    hits = at.filter("level > 0 and original is not null")
-    return hits.groupBy("conv_id", "turn", "level", "original").agg(F.count(F.lit(1)).alias("passages"), F.sum("chars").cast("long").alias("chars"))
+    """``_row, level, original, passages, chars``: quoting message and the message (turn, _tie, _row) it quotes at that level."""
+    found = cut(hashed(messages), "passages").withColumn("_key", F.struct("conv_id", "hash"))
+    quoting = found.filter("level > 0")
+    saying = found.filter("level = 0").join(quoting.select("conv_id", "hash").distinct(), ["conv_id", "hash"], "left_semi")
+    at = last_before(quoting, saying, on="_key", order=["turn"], ties=["_tie", "_row"], payload=["turn", "_tie", "_row"], out="original", width=TURNS)
+    return at.filter("original is not null").groupBy("_row", "level", "original").agg(F.count(F.lit(1)).alias("passages"), F.sum("chars").cast("long").alias("chars"))
+
+
+def threads(linked: DataFrame) -> DataFrame:
+    """``_row, reply, thread, depth`` from ``_row, at, reply`` (``at``, ``reply``: turn, _tie, _row), by pointer doubling.
+
+    A message leaves the doubling as soon as its pointer is known to be the first of its thread, so the messages of a
+    long thread never meet on the one key of its beginning.
+    """
+    root = F.col("reply").isNull()
+    state = linked.select("_row", "reply", F.coalesce("reply", "at").alias("thread"), (~root).cast("long").alias("depth"), root.alias("done"))
+    state = cut(state, "replies")
+    while state.filter("not done").limit(1).count():
+        up = state.select(F.col("_row").alias("_above"), F.col("thread").alias("above"), F.col("depth").alias("more"), F.col("done").alias("ends"))
+        step = state.filter("not done").join(up, F.col("thread._row") == F.col("_above"))
+        moved = step.select("_row", "reply", F.col("above").alias("thread"), (F.col("depth") + F.col("more")).alias("depth"), F.col("ends").alias("done"))
+        state = cut(state.filter("done").unionByName(moved), "replies")
+    return state.drop("done")
 
 
-def conversations(table: DataFrame) -> DataFrame:
-    """``conv_id, turn, role, text, reply_to, quoted_turns, thread, depth`` of every message, quotes removed.
+def conversations(table: DataFrame, unplaced: bool = False) -> DataFrame:
+    """``conv_id, turn, part, role, text, reply_to, reply_part, quoted_turns, thread, thread_part, depth`` of every message, quotes removed.
 
     ``thread`` is the message a chain of replies begins with, ``depth`` the number of replies below it; ordered by
-    (conv_id, thread, depth, turn) a conversation reads in reply order.  A null text is empty.  Rows with a null
-    conversation or turn, and repeated (conversation, turn) rows beyond the lowest (role, text), are not
-    messages and are left out.  Other columns are not read.
+    (conv_id, thread, thread_part, depth, turn, part) a conversation reads in reply order.  A null text is empty.
+    Rows with one (conversation, turn) are messages of their own, numbered by ``part`` in a hashed order of their
+    role and text; none of them is earlier than another, and where one of several is answered it is the last that
+    fits.  With ``unplaced``, rows with a null conversation or turn are kept, each alone: they answer nothing and nothing
+    answers them.  Other columns are not read.
     """
-    rows = table.select("conv_id", "turn", "role", "text").filter("conv_id is not null and turn is not null")
-    rows = rows.groupBy("conv_id", F.col("turn").cast("long").alias("turn")).agg(F.min(F.struct(F.coalesce("role", F.lit("")).alias("_r"), F.coalesce("text", F.lit("")).alias("_t"), "role", "text")).alias("m"))
-    messages = cut(split_lines(rows.select("conv_id", "turn", "m.role", "m.text")), "messages")
-    found = cut(links(messages), "quotes")
-    best = found.filter("level = 1").groupBy("conv_id", "turn").agg(F.max(F.struct("chars", "original")).alias("b")).select("conv_id", "turn", F.col("b.original").alias("quoted"))
-    all_of = found.groupBy("conv_id", "turn").agg(F.array_sort(F.collect_set("original")).alias("quoted_turns"))
-    before = F.lag("turn").over(Window.partitionBy("conv_id").orderBy("turn"))
-    linked = messages.select("conv_id", "turn", before.alias("before")).join(best, ["conv_id", "turn"], "left").select("conv_id", "turn", F.coalesce("quoted", "before").alias("reply_to"))
-    roots = cut(linked.select("conv_id", "turn", "reply_to", F.coalesce("reply_to", "turn").alias("thread"), F.col("reply_to").isNotNull().cast("long").alias("depth")), "replies")
-    state = roots
-    while True:
-        up = state.select("conv_id", F.col("turn").alias("thread"), F.col("thread").alias("above"), F.col("depth").alias("more"))
-        state = cut(state.join(up, ["conv_id", "thread"]).select("conv_id", "turn", "reply_to", F.col("above").alias("thread"), (F.col("depth") + F.col("more")).alias("depth"), (F.col("above") != F.col("thread")).alias("moved")), "replies")
-        if not state.filter("moved").limit(1).count():
-            break
-        state = state.drop("moved")
+    placed = F.col("conv_id").isNotNull() & F.col("turn").isNotNull()
+    rows = table.select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text")
+    if not unplaced:
+        rows = rows.filter(placed)
+    tie = F.pmod(F.xxhash64(F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))), F.lit(1 << 20))
+    messages = cut(split_lines(rows.withColumn("_tie", tie).withColumn("_row", F.monotonically_increasing_id())), "messages")
+    known = messages.filter(placed)
+    found = cut(links(known), "quotes")
+    quotes = found.groupBy("_row").agg(F.max(F.when(F.col("level") == 1, F.struct("chars", "original")))["original"].alias("quoted"), F.array_sort(F.collect_set("original.turn")).alias("quoted_turns"))
+    spot = F.struct("turn", "_tie", "_row")
+    latest = known.groupBy("conv_id", "turn").agg(F.max(spot).alias("at"))
+    before = previous_row(latest, "conv_id", ["turn"], ["at"], width=TURNS).select("conv_id", "turn", F.col("prev.at").alias("before"))
+    linked = known.select(*KEYS, spot.alias("at")).join(before, ["conv_id", "turn"]).join(quotes.select("_row", "quoted"), "_row", "left")
+    state = threads(linked.select("_row", "at", F.coalesce("quoted", "before").alias("reply")))
+    shared = ordered_position(known.select(*KEYS), ["conv_id", "turn"], "_tie", ["_tie", "_row"], out="part", width=1 << 12)
+    parts = cut(shared.filter("part > 0").select("_row", "part"), "parts")  # few: every other message is number 0
+    numbered = lambda df, row, name: df.join(parts.select(F.col("_row").alias("_of"), F.col("part").alias(name)), F.col(row) == F.col("_of"), "left").drop("_of")
+    state = numbered(numbered(numbered(state, "_row", "part"), "reply._row", "reply_part"), "thread._row", "thread_part")
     own = F.filter("_lines", lambda x: x["level"] == 0)
     text = F.regexp_replace(F.regexp_replace(F.array_join(F.transform(own, lambda x: x["raw"]), "\n"), r"\n{3,}", "\n\n"), r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")
-    out = messages.select("conv_id", "turn", "role", text.alias("text")).join(state.drop("moved"), ["conv_id", "turn"]).join(all_of, ["conv_id", "turn"], "left")
-    return out.select("conv_id", "turn", "role", "text", "reply_to", F.coalesce("quoted_turns", F.array().cast("array<bigint>")).alias("quoted_turns"), "thread", "depth")
+    out = messages.select("_row", "conv_id", "turn", "role", text.alias("text")).join(state, "_row", "left").join(quotes.select("_row", "quoted_turns"), "_row", "left")
+    number = lambda name: F.coalesce(name, F.lit(0).cast("long")).alias(name)
+    return out.select(
+        "conv_id", "turn", number("part"), "role", "text", F.col("reply.turn").alias("reply_to"), F.when(F.col("reply").isNotNull(), F.coalesce("reply_part", F.lit(0).cast("long"))).alias("reply_part"),
+        F.coalesce("quoted_turns", F.array().cast("array<bigint>")).alias("quoted_turns"), F.coalesce("thread.turn", "turn").alias("thread"), number("thread_part"), number("depth"),
+    )

@@ -42,3 +42,35 @@ def test_test_table(spark):
 
 def test_empty(spark):
     assert quotes.conversations(spark.createDataFrame([], "conv_id long, turn int, role string, text string")).count() == 0
+
+
+def test_every_row_stays(spark):
+    rows = [
+        (1, 0, "user", "first question"), (1, 0, "user", "second question"), (1, 0, "user", "second question"), (1, 1, "bot", "> first question\nanswer"),
+        (1, 1, "bot", "> second question\nanother"), (1, 2, "user", "thanks"), (None, 0, "user", "> first question\nlost"), (None, 0, "user", "alone"), (1, None, "user", "no turn"),
+    ]
+    table = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")
+    got = quotes.conversations(table, unplaced=True).collect()
+    assert sorted(r["text"] for r in got) == sorted(["first question", "second question", "second question", "answer", "another", "thanks", "lost", "alone", "no turn"])
+    at = {(r["turn"], r["part"]): r for r in got if r["conv_id"] == 1 and r["turn"] is not None}
+    assert sorted(at) == [(0, 0), (0, 1), (0, 2), (1, 0), (1, 1), (2, 0)]
+    for r in at.values():
+        above = at.get((r["reply_to"], r["reply_part"]))
+        assert (above is None) == (r["turn"] == 0) and r["depth"] == r["turn"]
+        assert above is None or (r["thread"], r["thread_part"]) == (above["thread"], above["thread_part"])
+        if r["text"] in ("answer", "another"):
+            assert above["text"] == {"answer": "first question", "another": "second question"}[r["text"]]
+    assert all(r["reply_to"] is None and r["depth"] == 0 and r["quoted_turns"] == [] for r in got if r["conv_id"] is None or r["turn"] is None)
+
+
+def test_long_conversation(spark):
+    n = quotes.TURNS + 50  # over more than one bucket of turns
+    rows = [(1, t, "u", f"> said {t - 3000}\nsaid {t}" if t in (3500, n - 1) else f"said {t}") for t in range(n)]
+    table = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")
+    got = {r["turn"]: (r["reply_to"], r["thread"], r["depth"]) for r in quotes.conversations(table).collect()}
+    depth = {0: 0}
+    for t in range(1, n):
+        above = t - 3000 if t in (3500, n - 1) else t - 1
+        depth[t] = depth[above] + 1
+        assert got[t] == (above, 0, depth[t])
+    assert got[0] == (None, 0, 0)
