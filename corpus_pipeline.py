@@ -1,8 +1,8 @@
 """A training-data pipeline over ``documents``: toxicity, language, near-duplicates, packing.
 
 Each stage takes ``(spark, docs, sf_dir)``, works on all rows that it is given, and returns the rows it keeps
-with the columns of documents; the last returns packed pieces.  Models are learned from the tables in
-``sf_dir`` (labels; lang), joined to the rows given.
+with the columns of documents; the last returns packed pieces.  Toxicity is learned from the labelled
+documents in ``sf_dir``, languages from the ``lang`` of the rows given.
 """
 
 from __future__ import annotations
@@ -18,8 +18,12 @@ LANGUAGE_SHARE = 0.5
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts whose toxicity score reaches 0.3 go; null and empty texts stay."""
-    sample = toxicity.labelled_sample(docs.select("doc_id", "text"), C.table(spark, sf_dir, "labels"))
+    """Texts whose toxicity score reaches 0.3 go; null and empty texts stay.
+
+    The model is learned from the labelled documents of ``sf_dir``, whatever rows are given.
+    """
+    known = C.table(spark, sf_dir, "documents").select("doc_id", "text")
+    sample = toxicity.labelled_sample(known, C.table(spark, sf_dir, "labels"))
     return toxicity.accepted(docs, toxicity.fit(sample))
 
 

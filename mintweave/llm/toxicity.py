@@ -25,6 +25,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,6 +50,7 @@ class Model:
     bias: float
     slope: float
     intercept: float
+    fitted: bool = True
 
     def score(self, margins: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * margins + self.intercept, -60, 60)))
@@ -196,10 +198,17 @@ def text_margins(docs: DataFrame, weights: np.ndarray, bias: float, key: str, te
 
 
 def accepted(docs: DataFrame, model: Model, text: str = "text", threshold: float = 0.3) -> DataFrame:
-    """The rows, all columns as they are, whose score is below ``threshold``."""
+    """The rows, all columns as they are, whose score is below ``threshold``; null, empty and blank texts stay.
+
+    A model that could not be fitted tells no text from another, so it rejects none.
+    """
+    if not model.fitted:
+        return docs
 
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        yield batch.filter(pa.array(model.score(_margins_of(batch, text, model.weights, model.bias)) < threshold))
+        below = model.score(_margins_of(batch, text, model.weights, model.bias)) < threshold
+        said = pc.match_substring_regex(batch.column(batch.schema.get_field_index(text)), r"[^\x20\x09-\x0D]")
+        yield batch.filter(pc.or_(pa.array(below), pc.invert(pc.fill_null(said, False))))
 
     return C.per_batch(docs, work, docs.schema)
 
@@ -233,10 +242,10 @@ def _word_counts(labelled: DataFrame) -> DataFrame:
 def labelled_sample(docs: DataFrame, marks: DataFrame, max_texts: int = 40_000, key: str = "doc_id", label: str = "toxic") -> DataFrame:
     """``docs`` with the label of ``marks``, at most ``max_texts`` of them, chosen by hashed id.
 
-    Repeated marks of an id count as the highest.  The chosen ids have a fixed bound, so they are broadcast and
-    no text is shuffled.
+    Repeated marks of an id count as the highest.  Ids without a document take no place of the bound.  The chosen ids
+    have a fixed bound, so they are broadcast and no text is shuffled.
     """
-    known = marks.filter(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(F.max(label).alias(label))
+    known = marks.filter(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(F.max(label).alias(label)).join(docs.select(key), key, "left_semi")
     return docs.join(F.broadcast(known.orderBy(F.xxhash64(key), key).limit(max_texts)), key)
 
 
@@ -253,7 +262,7 @@ def fit(labelled: DataFrame, max_texts: int = 40_000, max_words: int = 20_000, t
     n_toxic, n = rows.agg(F.sum("label"), F.count(F.lit(1))).first()
     n_toxic = n_toxic or 0
     prior = (n_toxic + 0.1) / (n + 1)
-    flat = Model(np.zeros(1 << BITS, np.float32), FLOOR, 0.0, float(np.log(prior / (1 - prior))))
+    flat = Model(np.zeros(1 << BITS, np.float32), FLOOR, 0.0, float(np.log(prior / (1 - prior))), fitted=False)
     if not n_toxic or n_toxic == n:
         return flat
     counts = cut(_word_counts(rows), "words")

@@ -1,8 +1,10 @@
 """The pipeline's stages: what each drops, and the columns that it keeps."""
 
 import corpus_pipeline
+import numpy as np
 from mintweave.llm import langmix, minhash, toxicity
 from mintweave.session import cut
+from pyspark.sql import functions as F
 
 SMALL = "/root/testdata/sf0.01"
 
@@ -38,3 +40,31 @@ def test_odd_documents(spark):
     assert toxicity.accepted(docs, model).count() == 6
     assert sorted(r[0] or 0 for r in langmix.accepted(docs, langmix.profiles(docs), 0.5).select("doc_id").collect()) == [0, 4, 5]
     assert sorted(r[0] or 0 for r in minhash.representatives(docs).select("doc_id").collect()) == [0, 1, 2, 3, 4]
+
+
+def test_unlabelled_rows(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    toxic = spark.read.parquet(f"{SMALL}/labels.parquet").filter("toxic = 1").select("doc_id").distinct()
+    new = docs.join(toxic, "doc_id", "left_semi").withColumn("doc_id", F.col("doc_id") + 10_000_000)
+    total = new.count()
+    assert corpus_pipeline.drop_toxic(spark, new, SMALL).count() <= 0.5 * total
+
+
+def test_one_sided_labels(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame([(1, "some words here", "en", "s", 15), (2, "", "en", "s", 0), (3, None, "en", "s", None), (4, "other words there", "en", "s", 17)], schema)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(k, 1) for k in (1, 4, 7)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.drop_toxic(spark, docs, str(tmp_path)).count() == 4
+
+
+def test_blank_texts_stay(spark):
+    model = toxicity.Model(np.zeros(1 << toxicity.BITS, np.float32), 0.0, 0.0, 5.0)
+    docs = spark.createDataFrame([(1, None), (2, ""), (3, " \n"), (4, "words")], "doc_id long, text string")
+    assert sorted(r[0] for r in toxicity.accepted(docs, model).collect()) == [1, 2, 3]
+
+
+def test_bound_counts_documents(spark):
+    docs = spark.createDataFrame([(k, "text") for k in range(20)], "doc_id long, text string")
+    marks = spark.createDataFrame([(k, 0) for k in range(2000)], "doc_id long, toxic int")
+    assert toxicity.labelled_sample(docs, marks, max_texts=20).count() == 20
