@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mintweave.llm import common as C
-from mintweave.llm import bpe, hnsw, html_text, langmix, lm, minhash, packing, quality, quotes, toxicity
+from mintweave.llm import bpe, hnsw, html_text, langmix, lm, minhash, packing, quality, quotes, spelling, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -102,3 +102,9 @@ def op6_host_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every message of all conversations without quotes, with the message it answers."""
     return quotes.conversations(C.table(spark, sf_dir, "conversations"), unplaced=True)
+
+
+@query
+def op13_bloom_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spelling variants of the words of all documents."""
+    return spelling.spelling_variants(C.table(spark, sf_dir, "documents"), drop_every=31, min_letters=7, min_count=2, factor=10)
