@@ -39,16 +39,16 @@ def holds(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return bits[block] & mask == mask
 
 
-def sizes(counts: dict[int, int], limit: int = LIMIT) -> dict[int, int]:
-    """Blocks of each shard: a power of two for ``BITS`` bits a key, in proportion below ``limit`` in all."""
-    wanted = {shard: max(1, n * BITS // 64) for shard, n in counts.items()}
+def sizes(counts: dict[int, int], limit: int = LIMIT, least: int = 1) -> dict[int, int]:
+    """Blocks of each shard: a power of two for ``BITS`` bits a key and ``least`` blocks, in proportion below ``limit`` in all."""
+    wanted = {shard: max(least, n * BITS // 64) for shard, n in counts.items()}
     share = min(1.0, limit / 2 / max(1, sum(wanted.values())))
     return {shard: 1 << int(max(1, n * share) - 1).bit_length() for shard, n in wanted.items()}
 
 
-def build(keys: DataFrame, limit: int = LIMIT) -> dict[int, np.ndarray]:
+def build(keys: DataFrame, limit: int = LIMIT, least: int = 1) -> dict[int, np.ndarray]:
     """The filter of every shard of ``keys`` (columns ``shard int``, ``key long``; read twice)."""
-    blocks = sizes({r[0]: r[1] for r in keys.groupBy("shard").count().collect()}, limit)
+    blocks = sizes({r[0]: r[1] for r in keys.groupBy("shard").count().collect()}, limit, least)
 
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         shard, key = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))

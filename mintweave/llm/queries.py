@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mintweave.llm import common as C
-from mintweave.llm import bpe, hnsw, html_text, langmix, lm, minhash, packing, quality, quotes, spelling, toxicity
+from mintweave.llm import bpe, collocations, hnsw, html_text, langmix, lm, minhash, packing, quality, quotes, spelling, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -108,3 +108,44 @@ def op5_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13_bloom_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spelling variants of the words of all documents."""
     return spelling.spelling_variants(C.table(spark, sf_dir, "documents"), drop_every=31, min_letters=7, min_count=2, factor=10)
+
+
+@query
+def op11_toivonen_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2000 collocations of every language of all documents."""
+    return collocations.collocations(C.table(spark, sf_dir, "documents"), min_count=100, longest=5, cover_percent=100, first=2000)
+
+
+ORACLES["op11_toivonen_phrases"] = r"""
+WITH texts AS (
+  SELECT row_number() OVER () AS id, coalesce(lang, 'und') AS lang,
+         regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS pieces
+  FROM documents),
+pieces AS (SELECT id, lang, generate_subscripts(pieces, 1) AS piece, unnest(pieces) AS body FROM texts),
+lists AS (SELECT id, lang, piece, regexp_extract_all(body, '[^\x20\x09]+') AS ws FROM pieces),
+words AS (SELECT id, lang, piece, generate_subscripts(ws, 1) AS i, unnest(ws) AS w1 FROM lists),
+runs AS (
+  SELECT lang, w1, lead(w1, 1) OVER o AS w2, lead(w1, 2) OVER o AS w3, lead(w1, 3) OVER o AS w4, lead(w1, 4) OVER o AS w5
+  FROM words WINDOW o AS (PARTITION BY id, piece ORDER BY i)),
+phrases AS (
+  SELECT lang, 1 AS size, w1 AS phrase FROM runs
+  UNION ALL SELECT lang, 2, concat_ws(' ', w1, w2) FROM runs WHERE w2 IS NOT NULL
+  UNION ALL SELECT lang, 3, concat_ws(' ', w1, w2, w3) FROM runs WHERE w3 IS NOT NULL
+  UNION ALL SELECT lang, 4, concat_ws(' ', w1, w2, w3, w4) FROM runs WHERE w4 IS NOT NULL
+  UNION ALL SELECT lang, 5, concat_ws(' ', w1, w2, w3, w4, w5) FROM runs WHERE w5 IS NOT NULL),
+counts AS (SELECT lang, size, phrase, count(*) AS f FROM phrases GROUP BY ALL),
+totals AS (SELECT lang, count(*) AS n FROM words GROUP BY lang),
+candidates AS (SELECT lang, size, phrase, f AS a, string_split(phrase, ' ') AS ws FROM counts WHERE size >= 2 AND f >= 100),
+cuts AS (SELECT *, unnest(generate_series(1, size - 1)) AS k FROM candidates),
+parts AS (SELECT lang, phrase, a, k, array_to_string(ws[1:k], ' ') AS head, array_to_string(ws[k + 1:], ' ') AS tail FROM cuts),
+scores AS (
+  SELECT p.lang, p.phrase, p.a, k, h.f AS l, t.f AS r, n, CAST((1000::HUGEINT * p.a * n) // (h.f::HUGEINT * t.f) AS BIGINT) AS score
+  FROM parts p JOIN counts h ON h.lang = p.lang AND h.phrase = head JOIN counts t ON t.lang = p.lang AND t.phrase = tail JOIN totals ON totals.lang = p.lang),
+lowest AS (SELECT * FROM scores QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+spans AS (SELECT lang, a, ws, size, unnest(generate_series(1, size)) AS i FROM candidates),
+insides AS (SELECT lang, a, ws, size, i, unnest(generate_series(i, size)) AS j FROM spans),
+inner_phrases AS (SELECT lang, array_to_string(ws[i:j], ' ') AS phrase, max(a) AS longer FROM insides WHERE j - i + 1 < size GROUP BY ALL),
+kept AS (SELECT l.* FROM lowest l LEFT JOIN inner_phrases i ON i.lang = l.lang AND i.phrase = l.phrase WHERE i.longer IS NULL OR 100 * i.longer < 100 * l.a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM kept QUALIFY rank <= 2000
+"""

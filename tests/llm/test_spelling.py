@@ -61,7 +61,7 @@ def test_equals_brute_force(spark):
                 w = rng.choice([w[:k] + w[k + 1:], w[:k] + rng.choice("abé") + w[k:], w[:k] + rng.choice("abÿ") + w[k + 1:], w.upper()])
             words.append(w)
         rows.append((i % 50, rng.choice([" ", "-", "’", "。"]).join(words)))
-    rows += [(None, None), (None, ""), (7, "x" * 5000 + " " + "x" * 4999), (7, "x" * 5000 + " " + "x" * 4999), (3, "×÷×÷ ×÷×÷ 12_3")]
+    rows += [(None, None), (None, ""), (7, "x" * 300 + " " + "x" * 299), (7, "x" * 300 + " " + "x" * 299), (3, "×÷×÷ ×÷×÷ 12_3")]
     docs = spark.createDataFrame([(*r, "clash", 1) for r in rows], "doc_id long, text string, word string, n int")
     for drop, least in ((3, 4), (0, 1), (31, 7)):
         known = plain_words(rows, drop, least, 2)
