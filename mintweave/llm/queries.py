@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mintweave.llm import common as C
-from mintweave.llm import bpe, collocations, hnsw, html_text, langmix, lm, minhash, packing, quality, quotes, spelling, toxicity
+from mintweave.llm import archives, bpe, collocations, hnsw, html_text, langmix, lm, minhash, packing, quality, quotes, spelling, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -149,3 +149,25 @@ kept AS (SELECT l.* FROM lowest l LEFT JOIN inner_phrases i ON i.lang = l.lang A
 SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
 FROM kept QUALIFY rank <= 2000
 """
+
+
+@query
+def op12_zip_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to ZIP-packaged archives and read back."""
+    return archives.round_trip(C.table(spark, sf_dir, "pages"))
+
+
+ORACLES["op12_zip_archives"] = """
+WITH sized AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+hashed AS (SELECT page_id, strlen(body) AS payload_bytes, upper(sha1(body)) AS hex FROM sized),
+digits AS (SELECT page_id, payload_bytes, hex, CAST('0x' || substr(hex, 1 + 5 * k, 5) AS BIGINT) AS part, k FROM hashed, range(8) t(k)),
+coded AS (
+  SELECT page_id, payload_bytes, string_agg(
+           substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(part // 32768 AS INT) + 1, 1) || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(part // 1024 % 32 AS INT) + 1, 1)
+        || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(part // 32 % 32 AS INT) + 1, 1) || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(part % 32 AS INT) + 1, 1), '' ORDER BY k) AS payload_digest
+  FROM digits GROUP BY page_id, payload_bytes, hex),
+largest AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS top FROM coded)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> top THEN top END AS refers_to, CAST(NULL AS VARCHAR) AS problem
+FROM largest
+"""
