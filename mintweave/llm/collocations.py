@@ -31,14 +31,14 @@ from mintweave.llm.spelling import gathered
 from mintweave.session import cut
 
 #: Bytes of text of one vectorised step.
-STEP = 4 << 20
+STEP = 1 << 20
 #: Share of the documents that proposes, and the share of the threshold that a proposed phrase reaches there.
 SAMPLE, LOWERED = 0.125, 0.5
-#: Remembered hashes of a task that spells phrases out; a forgotten one is only sent again.
-SEEN = 1 << 20
+#: Low bits of ``info`` that hold a phrase's number of words; the others name a text that holds it.
+SIZE_BITS = 4
 #: Blocks of a filter at least, so that later keys find room.
 LEAST = 1 << 14
-COUNTS = "key long, size int, n long"
+COUNTS = "key long, info long, n long"
 
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, 0x09]] = True
@@ -70,6 +70,10 @@ class Words:
         self.language = languages
         with np.errstate(over="ignore"):
             self.runs = {1: C.mix(C.word_hashes(data, self.starts, self.ends) + languages[self.text])}
+            # A text's place is a hash of its words, the same in every pass.
+            sums = np.append(np.uint64(0), np.cumsum(self.runs[1]))
+            first = np.searchsorted(self.text, np.arange(len(offsets)))
+            self.places = C.mix(sums[first[1:]] - sums[first[:-1]]) >> np.uint64(SIZE_BITS + 1)
 
     def run(self, size: int) -> np.ndarray:
         """Hash of the ``size`` words from each word on (fewer entries than words; may cross pieces)."""
@@ -95,22 +99,40 @@ def _steps(docs: DataFrame, work, schema: str) -> DataFrame:
             for at, end, data, offsets in C.text_steps(batch, "text", STEP):
                 yield from one(Words(data, offsets, keys[at:end]), names[at:end])
 
-    return docs.select("text", "lang").mapInArrow(run, schema)
+    return C.bounded(docs).select("text", "lang").mapInArrow(run, schema)
 
 
-def _counted(found: dict[int, np.ndarray]) -> pa.RecordBatch:
-    """Distinct keys of each size and how often each occurs."""
+def _counted(words: Words, found: dict[int, np.ndarray | slice]) -> pa.RecordBatch:
+    """Distinct keys of the runs of each size that begin at the given words, how often each occurs, and a text that has it (``info``)."""
     out = []
-    for size, keys in found.items():
-        keys = np.sort(keys)
+    for size, at in found.items():
+        at = np.arange(len(words.run(size)))[at] if isinstance(at, slice) else np.flatnonzero(at)
+        keys = words.run(size)[at]
+        order = np.argsort(keys)
+        keys = keys[order]
         first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
-        out.append((keys[first], np.full(len(first), size, np.int32), np.diff(np.append(first, len(keys)))))
-    key, size, n = (np.concatenate(c) for c in zip(*out))
-    return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(size), pa.array(n.astype(np.int64))], names=["key", "size", "n"])
+        info = words.places[words.text[at[order[first]]]] << np.uint64(SIZE_BITS) | np.uint64(size)
+        out.append((keys[first], info, np.diff(np.append(first, len(keys)))))
+    return _counts(*(np.concatenate(c) for c in zip(*out)))
+
+
+def _counts(key: np.ndarray, info: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(info.view(np.int64)), pa.array(n.astype(np.int64))], names=["key", "info", "n"])
+
+
+def _languages(words: Words) -> pa.RecordBatch:
+    """The number of words of each language, of size 0."""
+    key, n = np.unique(words.language[words.text], return_counts=True)
+    return _counts(key, np.zeros(len(key), np.uint64), n)
 
 
 def _summed(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("key").agg(F.first("size").alias("size"), F.sum("n").alias("n"))
+    return rows.groupBy("key").agg(F.min("info").alias("info"), F.sum("n").alias("n"))
+
+
+def size_of(info: str = "info") -> Column:
+    """The number of words (0: a language) in ``info``."""
+    return F.col(info).bitwiseAND(F.lit((1 << SIZE_BITS) - 1))
 
 
 def proposed(sample: DataFrame, least: int, longest: int, filter_blocks: int) -> DataFrame:
@@ -118,12 +140,12 @@ def proposed(sample: DataFrame, least: int, longest: int, filter_blocks: int) ->
 
     def short():
         def work(words: Words, _: list[str]) -> Iterator[pa.RecordBatch]:
-            yield _counted({1: words.run(1), 2: words.run(2)[words.whole(2)]})
+            yield _counted(words, {1: slice(None), 2: words.whole(2)})
 
         return work
 
     first = cut(_summed(_steps(sample, short, COUNTS)).filter(F.col("n") >= least), "proposed")
-    pairs = _filter(sample, first.filter("size = 2"), filter_blocks)
+    pairs = _filter(sample, first.filter(size_of() == 2), filter_blocks)
 
     def long():
         def work(words: Words, _: list[str]) -> Iterator[pa.RecordBatch]:
@@ -133,8 +155,8 @@ def proposed(sample: DataFrame, least: int, longest: int, filter_blocks: int) ->
                 own = words.whole(size)
                 for k in range(size - 1):
                     own &= good[k:k + n]
-                found[size] = words.run(size)[own]
-            yield _counted(found)
+                found[size] = own
+            yield _counted(words, found)
 
         return work
 
@@ -156,7 +178,7 @@ def _opened(words: Words, size: int, parts: np.ndarray) -> np.ndarray:
 
 
 def counted(docs: DataFrame, now, before, longest: int) -> DataFrame:
-    """``key, size, n`` of the proposal and its border; without ``before``, all words and (size 0) the words of each language.
+    """``key, info, n`` of the proposal and its border; without ``before``, all words and (size 0) the words of each language.
 
     With ``before``, of what ``now`` opens and ``before`` did not; a run opened here counts as a part at once, so the
     extensions of whatever turns out frequent are counted in the same pass.
@@ -164,19 +186,20 @@ def counted(docs: DataFrame, now, before, longest: int) -> DataFrame:
 
     def start():
         def work(words: Words, _: list[str]) -> Iterator[pa.RecordBatch]:
-            found = {} if before is not None else {1: words.run(1), 0: words.language[words.text]}
+            found = {} if before is not None else {1: slice(None)}
             new = bloom.holds(now.value, words.run(1))
             old = bloom.holds(before.value, words.run(1)) if before is not None else None
             for size in range(2, longest + 1):
-                run = words.run(size)
                 own = _opened(words, size, new)
-                new = bloom.holds(now.value, run)
+                new = bloom.holds(now.value, words.run(size))
                 if before is not None:
                     own &= ~_opened(words, size, old)
-                    old = bloom.holds(before.value, run)
+                    old = bloom.holds(before.value, words.run(size))
                     new |= own
-                found[size] = run[own]
-            yield _counted(found)
+                found[size] = own
+            yield _counted(words, found)
+            if before is None:
+                yield _languages(words)
 
         return work
 
@@ -184,15 +207,15 @@ def counted(docs: DataFrame, now, before, longest: int) -> DataFrame:
 
 
 def frequent(docs: DataFrame, least: int, longest: int, sample: float, seed: int, filter_blocks: int) -> DataFrame:
-    """``key, size, n`` of all phrases that occur ``least`` times or more (size 0: the words of a language).
+    """``key, info, n`` of all phrases that occur ``least`` times or more (size 0: the words of a language).
 
     The second pass leaves nothing open: a phrase that neither pass counted has a part that was counted and is not frequent.
     """
     taken = cut(docs.select("text", "lang").sample(False, sample, seed), "sample")
     keys = cut(proposed(taken, max(2, int(least * sample * LOWERED)), longest, filter_blocks), "proposal")
     bits = _filter(docs, keys, filter_blocks)
-    found = cut(counted(docs, bits, None, longest).filter((F.col("n") >= least) | (F.col("size") == 0)), "frequent")
-    failed = cut(found.filter("size > 0").join(keys, "key", "left_anti").select("key"), "failures")
+    found = cut(counted(docs, bits, None, longest).filter((F.col("n") >= least) | (size_of() == 0)), "frequent")
+    failed = cut(found.filter(size_of() > 0).join(keys, "key", "left_anti").select("key"), "failures")
     if not failed.head(1):
         return found
     more = counted(docs, _joined(docs, bits, failed), bits, longest).filter(F.col("n") >= least)
@@ -213,23 +236,35 @@ def _joined(docs: DataFrame, bits, keys: DataFrame):
     return docs.sparkSession.sparkContext.broadcast(new)
 
 
+def _owned(keys: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Keys of (phrase, text)."""
+    with np.errstate(over="ignore"):
+        return C.mix(keys ^ (places * np.uint64(0xD1342543DE82EF95)))
+
+
 def spelled(docs: DataFrame, phrases: DataFrame, longest: int, filter_blocks: int) -> DataFrame:
-    """``key, language, lang, size, phrase, heads, tails`` of each phrase: its words, and the keys of its first and last words by cut."""
+    """``key, language, lang, size, phrase, heads, tails`` of each phrase: its words, and the keys of its first and last words by cut.
+
+    Only the text named by ``info`` (and its copies) spells a phrase out, so rows grow with the phrases and not with the tasks.
+    """
+
+    def owned(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        key, info = (batch.column(k).to_numpy().view(np.uint64) for k in (0, 1))
+        yield pa.RecordBatch.from_arrays([pa.array(_owned(key, info >> np.uint64(SIZE_BITS)).view(np.int64))], names=["key"])
+
     shared = _filter(docs, phrases, filter_blocks)
+    places = _filter(docs, C.per_batch(phrases.select("key", "info"), owned, "key long"), filter_blocks)
 
     def start():
-        seen = np.zeros(SEEN, np.uint64)
-
         def work(words: Words, names: list[str]) -> Iterator[pa.RecordBatch]:
             for size in range(2, longest + 1):
                 key = words.run(size)
                 at = np.flatnonzero(words.whole(size))
-                at = at[seen[key[at] % np.uint64(SEEN)] != key[at]]
                 at = at[bloom.holds(shared.value, key[at])]
+                at = at[bloom.holds(places.value, _owned(key[at], words.places[words.text[at]]))]
                 at = at[np.unique(key[at], return_index=True)[1]]
                 if not len(at):
                     continue
-                seen[key[at] % np.uint64(SEEN)] = key[at]
                 parts = [np.stack([words.run(k)[at] for k in range(1, size)], 1), np.stack([words.run(size - k)[at + k] for k in range(1, size)], 1)]
                 ends = np.arange(len(at) + 1, dtype=np.int32) * (size - 1)
                 lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(p.reshape(-1).view(np.int64))) for p in parts]
@@ -242,7 +277,7 @@ def spelled(docs: DataFrame, phrases: DataFrame, longest: int, filter_blocks: in
         return work
 
     rows = _steps(docs, start, "key long, language long, lang string, size int, phrase string, heads array<long>, tails array<long>")
-    return rows.dropDuplicates(["key"])
+    return rows.join(phrases.select("key"), "key", "left_semi").dropDuplicates(["key"])
 
 
 def _wide(column: str) -> Column:
@@ -282,14 +317,14 @@ def collocations(docs: DataFrame, min_count: int = 100, longest: int = 5, cover_
     (None: all phrases).  An empty table, or one without a frequent phrase, gives an empty result.  ``sample`` steers the
     work only.
     """
-    if not 2 <= longest:
-        raise ValueError("phrases have at least two words")
+    if not 2 <= longest < 1 << SIZE_BITS:
+        raise ValueError("phrases have 2 to 15 words")
     found = cut(frequent(docs, min_count, longest, sample, seed, filter_blocks), "phrases")
-    words = spelled(docs, found.filter("size > 1"), longest, filter_blocks)
-    counts = found.filter("size > 1").select("key", F.col("n").alias("a"))
-    totals = found.filter("size = 0").select(F.col("key").alias("language"), "n")
+    words = spelled(docs, found.filter(size_of() > 1), longest, filter_blocks)
+    counts = found.filter(size_of() > 1).select("key", F.col("n").alias("a"))
+    totals = found.filter(size_of() == 0).select(F.col("key").alias("language"), "n")
     phrases = cut(words.join(counts, "key").join(totals, "language"), "spelled")
-    kept = scored(phrases, found.filter("size > 0")).join(covered(phrases, cover_percent), "key", "left_anti")
+    kept = scored(phrases, found.filter(size_of() > 0)).join(covered(phrases, cover_percent), "key", "left_anti")
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
     ranked = kept.withColumn("rank", F.row_number().over(order))
     ranked = ranked if first is None else ranked.filter(F.col("rank") <= first)

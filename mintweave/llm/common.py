@@ -19,6 +19,9 @@ STEP_BYTES = 1 << 19
 #: Bits of the filter that spares most texts a shuffle; a fixed 1 MB.
 FILTER = 1 << 23
 
+#: Spark's bound on the bytes of an Arrow batch, and the value used here instead of its default of 64 MB.
+BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
+
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -129,6 +132,17 @@ def run_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
     return mix(out)
 
 
+def bounded(frame: DataFrame) -> DataFrame:
+    """The frame, after its session's Arrow batches have been bounded by bytes: rows may be texts of any length.
+
+    A bound that the session has set itself is left as it is.
+    """
+    conf = frame.sparkSession.conf
+    if conf.get(BATCH, "67108864b") == "67108864b":
+        conf.set(BATCH, f"{BATCH_BYTES}b")
+    return frame
+
+
 def per_batch(frame: DataFrame, work: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """``mapInArrow`` of a function of one batch."""
 
@@ -136,7 +150,7 @@ def per_batch(frame: DataFrame, work: Callable[[pa.RecordBatch], Iterator[pa.Rec
         for batch in batches:
             yield from work(batch)
 
-    return frame.mapInArrow(run, schema)
+    return bounded(frame).mapInArrow(run, schema)
 
 
 def binary_array(pieces: list[np.ndarray]) -> pa.Array:

@@ -84,12 +84,17 @@ def crc32s(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, state: np.nda
     return out
 
 
-def gathered(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
-    """The spans as strings."""
+def gathered_bytes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The spans as binary values."""
     size = ends - starts
     stop = np.append(0, np.cumsum(size)).astype(np.int32)
-    body = data[np.arange(stop[-1]) + np.repeat(starts - stop[:-1], size)]
-    return pa.StringArray.from_buffers(len(size), pa.py_buffer(stop), pa.py_buffer(np.ascontiguousarray(body)))
+    body = np.ascontiguousarray(data[np.arange(stop[-1]) + np.repeat(starts - stop[:-1], size)])
+    return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(stop), pa.py_buffer(body)])
+
+
+def gathered(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The spans as strings."""
+    return gathered_bytes(data, starts, ends).view(pa.string())
 
 
 def distinct_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[pa.Array, np.ndarray]:
