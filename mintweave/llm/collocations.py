@@ -98,6 +98,7 @@ def _steps(docs: DataFrame, work, schema: str) -> DataFrame:
             names, keys = language_keys(batch.column(1).to_pylist())
             for at, end, data, offsets in C.text_steps(batch, "text", STEP):
                 yield from one(Words(data, offsets, keys[at:end]), names[at:end])
+        C.released()
 
     return C.bounded(docs).select("text", "lang").mapInArrow(run, schema)
 

@@ -143,12 +143,24 @@ def bounded(frame: DataFrame) -> DataFrame:
     return frame
 
 
+def released() -> None:
+    """Give freed memory back to the system: workers live on and serve later stages."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def per_batch(frame: DataFrame, work: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """``mapInArrow`` of a function of one batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield from work(batch)
+        released()
 
     return bounded(frame).mapInArrow(run, schema)
 

@@ -68,7 +68,7 @@ def profiles(labelled: DataFrame, lang: str = "lang", text: str = "text") -> dic
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(spot), pa.string()), pa.array(spot), pa.array(total[spot])], names=["lang", "bucket", "n"])
 
     rows = labelled.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")).filter("text is not null and lang is not null")
-    found = rows.mapInArrow(work, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    found = C.bounded(rows).mapInArrow(work, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     out: dict[str, np.ndarray] = {}
     for name, bucket, n in zip(*(c.to_pylist() for c in found.toArrow().columns)):
         out.setdefault(name, np.zeros(BUCKETS))[bucket] = n
@@ -175,8 +175,10 @@ def accepted(docs: DataFrame, counts: dict[str, np.ndarray], share: float, text:
     """The rows, all columns as they are, with a letter and a language of at least ``share``; all lettered rows when nothing was learned."""
     model = Identifier(counts)
 
-    def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        yield batch.filter(pa.array(model.of(batch, text)[1] >= share))
+    @F.arrow_udf("boolean")
+    def clear(texts: pa.Array) -> pa.Array:
+        return pa.array(model.of(pa.RecordBatch.from_arrays([texts], ["text"]), "text")[1] >= share)
 
-    lettered = docs.filter(_lettered(text))
-    return C.per_batch(lettered, work, docs.schema) if counts else lettered
+    # Only the text leaves the JVM, and one truth value comes back.
+    lettered = C.bounded(docs).filter(_lettered(text))
+    return lettered.filter(clear(F.col(text))) if counts else lettered

@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mintweave.llm import common as C
+from mintweave.llm.spelling import gathered_bytes as gathered
 from mintweave.session import cut
 
 SPAN = 6
@@ -205,38 +206,42 @@ def accepted(docs: DataFrame, model: Model, text: str = "text", threshold: float
     if not model.fitted:
         return docs
 
-    def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        below = model.score(_margins_of(batch, text, model.weights, model.bias)) < threshold
-        said = pc.match_substring_regex(batch.column(batch.schema.get_field_index(text)), r"[^\x20\x09-\x0D]")
-        yield batch.filter(pc.or_(pa.array(below), pc.invert(pc.fill_null(said, False))))
+    @F.arrow_udf("boolean")
+    def harmless(texts: pa.Array) -> pa.Array:
+        below = model.score(_margins_of(pa.RecordBatch.from_arrays([texts], ["text"]), "text", model.weights, model.bias)) < threshold
+        said = pc.match_substring_regex(texts, r"[^\x20\x09-\x0D]")
+        return pc.or_(pa.array(below), pc.invert(pc.fill_null(said, False)))
 
-    return C.per_batch(docs, work, docs.schema)
+    # Only the text leaves the JVM, and one truth value comes back.
+    return C.bounded(docs).filter(harmless(F.col(text)))
 
 
 def _word_counts(labelled: DataFrame) -> DataFrame:
     """``word, toxic, clean``: labelled texts of either kind that hold the word."""
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[bytes, list[int]] = {}
-
-        def rows() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), *(pa.array([v[k] for v in counts.values()], pa.int64()) for k in (0, 1))], names=["word", "toxic", "clean"])
-            counts.clear()
-            return out
-
-        for batch in batches:
-            label = batch.column(1).to_pylist()
-            for at, end, data, offsets in C.text_steps(batch, "text"):
-                for i in range(end - at):
-                    tight, starts, ends, _ = closed_up(data[offsets[i]:offsets[i + 1]], np.array([0, offsets[i + 1] - offsets[i]]))
-                    raw, side = tight.tobytes(), 0 if label[at + i] else 1
-                    for word in {raw[a:b] for a, b in zip(starts.tolist(), ends.tolist()) if b - a >= 4}:
-                        counts.setdefault(word, [0, 0])[side] += 1
-                if len(counts) > 500_000:
-                    yield rows()
-        yield rows()
-
-    return labelled.select("text", "label").mapInArrow(work, "word binary, toxic long, clean long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        label = batch.column(1).to_numpy() != 0
+        for at, end, data, offsets in C.text_steps(batch, "text"):
+            tight, starts, ends, first = closed_up(data, offsets)
+            text = np.repeat(np.arange(end - at), np.diff(first))
+            long = ends - starts >= 4
+            starts, ends, text = starts[long], ends[long], text[long]
+            if not len(starts):
+                continue
+            with np.errstate(over="ignore"):
+                hashes = C.word_hashes(tight, starts, ends)
+            # texts ascend, so a stable sort by hash puts a word's occurrences in one text side by side
+            order = np.argsort(hashes, kind="stable")
+            hashes, text, spot = hashes[order], text[order], order
+            new = np.append(True, hashes[1:] != hashes[:-1])
+            once = new | np.append(True, text[1:] != text[:-1])
+            first_of = np.flatnonzero(new)
+            toxic = np.add.reduceat((once & label[at:end][text]).astype(np.int64), first_of)
+            texts = np.add.reduceat(once.astype(np.int64), first_of)
+            words = gathered(tight, starts[spot[first_of]], ends[spot[first_of]])
+            yield pa.RecordBatch.from_arrays([words, pa.array(toxic), pa.array(texts - toxic)], names=["word", "toxic", "clean"])
+
+    return C.per_batch(labelled.select("text", "label"), work, "word binary, toxic long, clean long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
 def labelled_sample(docs: DataFrame, marks: DataFrame, max_texts: int = 40_000, key: str = "doc_id", label: str = "toxic") -> DataFrame:
