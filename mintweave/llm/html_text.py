@@ -35,8 +35,10 @@ ASIDE = frozenset("nav header footer aside form dialog menu".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|sidebar|side-bar|menu\w*|nav\w*|breadcrumbs?|footer|header|masthead|comments?|comment-\w+|"
-    r"disqus|respond|replies|share|sharing|social|newsletter|subscribe|subscription|related|recommended|popup|modal|overlay|widget|toolbar|pagination|pager|login|signup)(?:$|[\s_-])",
+    r"(?:^|\s)(?:(?!(?:has|with|without|no|is|page|layout)[_-])[^\s]*[_-])?(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|sidebar|side-bar|menu\w*|nav\w*|breadcrumbs?|footer|header|masthead|comments?|comment-\w+|"
+    r"disqus|respond|replies|share|sharing|social|newsletter|subscribe|subscription|related|recommended|popup|modal|overlay|widget|toolbar|pagination|pager|login|signup)(?:$|\s)"
+    r"|(?:^|\s)(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|sidebar|side-bar|menu\w*|nav\w*|breadcrumbs?|footer|header|masthead|comments?|disqus|respond|replies|share|sharing|social|newsletter|"
+    r"subscribe|subscription|related|recommended|popup|modal|overlay|widget|toolbar|pagination|pager|login|signup)[_-]",
     re.IGNORECASE,
 )
 #: A tag that closes an open element of these kinds, as browsers do.
@@ -48,7 +50,8 @@ class Blocks(HTMLParser):
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, int | None, bool]] = []
+        #: Open elements: tag, role around them, whether silent, whether named a header.
+        self.open: list[tuple[str, int | None, bool, bool]] = []
         self.role, self.mute = REST, 0
         self.found: list[tuple[int, str]] = []
         self.pieces: list[str] = []
@@ -60,13 +63,15 @@ class Blocks(HTMLParser):
         self.pieces = []
 
     def _role_of(self, tag: str, attributes: dict[str, str | None]) -> int | None:
-        if tag in HEADINGS and any(t in ("article", "main") for t, *_ in self.open) and self.open[-1][0] == "header":
+        if tag in HEADINGS and any(t in ("article", "main") for t, *_ in self.open) and (self.open[-1][0] == "header" or self.open[-1][3]):
             return CONTENT  # the article's own title
         named = " ".join(filter(None, (attributes.get("class"), attributes.get("id"))))
         hidden = "hidden" in attributes or attributes.get("aria-hidden") == "true" or "display:none" in (attributes.get("style") or "").replace(" ", "").lower()
         if tag in ASIDE or (attributes.get("role") or "").lower() in ROLES or hidden or (tag not in ("html", "body", "article", "main") and NAMES.search(named)):
             return BOILERPLATE
-        if self.role != BOILERPLATE and (tag in ("article", "main") or (attributes.get("role") or "").lower() in ("main", "article")):
+        # Nothing but the page itself stands around a main element or form-wide article.
+        inside = any(t in ("article", "main") or t in ASIDE - {"form"} for t, *_ in self.open)
+        if (self.role != BOILERPLATE or not inside and (tag == "main" or tag == "article" and any(t == "form" for t, *_ in self.open))) and (tag in ("article", "main") or (attributes.get("role") or "").lower() in ("main", "article")):
             return CONTENT
         return None
 
@@ -82,10 +87,11 @@ class Blocks(HTMLParser):
             self.handle_endtag(self.open[-1][0])
         elif tag in BLOCKS:
             self._leave_paragraph()
-        role = self._role_of(tag, dict(attrs))
+        named = dict(attrs)
+        role = self._role_of(tag, named)
         if tag in BLOCKS or role is not None:
             self._flush()
-        self.open.append((tag, self.role, tag in SILENT))
+        self.open.append((tag, self.role, tag in SILENT, bool(re.search(r"(?:^|[\s_-])header(?:$|\s)", named.get("class") or ""))))
         self.mute += tag in SILENT
         self.role = self.role if role is None else role
 
@@ -108,7 +114,7 @@ class Blocks(HTMLParser):
         if not any(name == tag for name, *_ in self.open):
             return
         while self.open:
-            name, role, silent = self.open.pop()
+            name, role, silent, _ = self.open.pop()
             if name in BLOCKS or role != self.role:
                 self._flush()
             self.role = role
@@ -116,18 +122,26 @@ class Blocks(HTMLParser):
             if name == tag:
                 return
 
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        """``<![...>`` of any kind is a comment in pages; it ends at the next ``>``."""
+        end = self.rawdata.find(">", i + 3)
+        return end + 1 if end >= 0 else -1
+
     def handle_data(self, data: str) -> None:
         if not self.mute:
             self.pieces.append(data)
 
 
 def blocks_of(html: str | None) -> list[tuple[int, str]]:
-    """Role and text of every block; none for null, empty or unreadable markup."""
+    """Role and text of every block; none for null or empty markup, and where the parser gives up those before that place."""
     if not html:
         return []
     parser = Blocks()
-    parser.feed(html)
-    parser.close()
+    try:
+        parser.feed(html)
+        parser.close()
+    except AssertionError:  # markup that the parser gives up on; what it has read stays
+        pass
     parser._flush()
     return parser.found
 

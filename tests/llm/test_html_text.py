@@ -65,3 +65,22 @@ def test_test_table(spark):
 
 def test_empty(spark):
     assert H.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def content(page):
+    return [t for r, t in H.blocks_of(page) if r == H.CONTENT]
+
+
+def test_odd_declarations_lose_nothing():
+    assert [t for _, t in H.blocks_of("<p>a</p><![foo[bar]]><p>b</p>")] == ["a", "b"]
+    assert [t for _, t in H.blocks_of("<![ if x]><p>b</p>")] == ["b"]
+    assert [t for _, t in H.blocks_of("<p>a</p><![CDATA[x]]><p>b</p><![endif")][:2] == ["a", "b"]
+
+
+def test_wrappers_do_not_swallow_the_article():
+    assert content('<div class="layout has-sidebar"><article><p>x</p></article></div>') == ["x"]
+    assert content('<form id="aspnetForm"><nav>menu</nav><main><p>x</p></main></form>') == ["x"]
+    assert content('<article><div class="post-banner-free"><p>x</p></div></article>') == ["x"]
+    assert content('<article><div class="article-header"><h1>Title</h1><span>by me</span></div><p>x</p></article>') == ["Title", "x"]
+    assert content('<article><div class="left-sidebar"><p>no</p></div><section class="comments-area"><article><p>no</p></article></section><p>x</p></article>') == ["x"]
+    assert content('<article><p>x</p></article><div class="related-posts"><article><p>no</p></article></div><aside><article>no</article></aside>') == ["x"]
