@@ -65,10 +65,10 @@ def normalised(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def packed(docs: DataFrame, blocks: int) -> DataFrame:
-    """Compressed texts by block from ``id, text, train``."""
+    """Compressed texts by block from ``id, text, train``; ``ids`` has all ids, then for each whether it is null."""
 
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        ids, null = batch.column(0).fill_null(0).to_numpy(), batch.column(0).is_null().to_numpy(zero_copy_only=False).astype(np.uint8)
         train = batch.column(2).to_numpy(zero_copy_only=False).astype(np.uint8)
         block = batch.column(3).to_numpy(zero_copy_only=False)
         for at, end, data, offsets in C.text_steps(batch, "text", 1 << 20):
@@ -78,7 +78,7 @@ def packed(docs: DataFrame, blocks: int) -> DataFrame:
             for b in np.unique(block[at:end]):
                 own = np.flatnonzero(block[at:end] == b)
                 text = np.concatenate([body[stop[i] - length[i]:stop[i]] for i in own])
-                rows.append((int(b), ids[at + own].tobytes(), train[at + own].tobytes(), length[own].tobytes(), squeeze(text)))
+                rows.append((int(b), ids[at + own].tobytes() + null[at + own].tobytes(), train[at + own].tobytes(), length[own].tobytes(), squeeze(text)))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), [pa.int32(), *[pa.binary()] * 4])], names=["block", "ids", "train", "lengths", "body"])
 
     return C.per_batch(docs.select("id", "text", "train", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block")), work, PACKED)
@@ -296,13 +296,13 @@ def scored(docs: DataFrame, train: str = "train", key: str = "doc_id", text: str
     """``id, n_tokens, n_known, train_tokens, base_score, score`` of every text, learned from rows where ``train`` is true.
 
     A null or empty text is its end token alone.  With no training row the base and the model are uniform.
-    A null ``train`` counts as false.  Rows are kept one for one, repeated rows get equal results; other
+    A null ``train`` counts as false.  Rows are kept one for one, with null ids as they are, and repeated rows get equal results; other
     columns are not read.  Words are known by a 63-bit hash.
     """
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"), F.coalesce(F.col(train), F.lit(False)).alias("train"))
     size, trained = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.coalesce(F.sum(F.col("train").cast("long")), F.lit(0))).first()
     blocks = max(6, -(-size // block_bytes))
-    shards = min(4096, max(16, 2 * blocks))
+    shards = max(16, 2 * blocks)
     texts = packed(rows, blocks)
     lists = cut(listed(texts, shards), "lists")
     gram_lists = lists.filter("kind = 'gram'")
@@ -329,7 +329,8 @@ def scored(docs: DataFrame, train: str = "train", key: str = "doc_id", text: str
         out = []
         with np.errstate(over="ignore"):
             for one in body.itertuples():
-                ids, length = np.frombuffer(one.ids, np.int64), np.frombuffer(one.lengths, np.int64)
+                length = np.frombuffer(one.lengths, np.int64)
+                ids, null = np.frombuffer(one.ids, np.int64, len(length)), np.frombuffer(one.ids, np.uint8, len(length), 8 * len(length))
                 for part, text_, own in _steps(unsqueeze(one.body, np.uint8), length):
                     keys, value = table["gram"]
                     score = np.add.reduceat(value[np.searchsorted(keys, grams(text_, own))], np.append(0, np.cumsum(own)[:-1]))
@@ -338,8 +339,10 @@ def scored(docs: DataFrame, train: str = "train", key: str = "doc_id", text: str
                     count = value[np.searchsorted(keys, hashes >> np.uint64(1))] if len(hashes) else np.zeros(0)
                     share = lambda c: np.log10((c + 1) / (tokens + distinct + 1))
                     base = np.bincount(text, share(count), len(own)) + share(trained)
-                    out.append((ids[part], np.bincount(text, minlength=len(own)) + 1, np.bincount(text, count > 0, len(own)).astype(np.int64) + (1 if trained else 0), base, score))
-        columns = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0)] * 5
+                    out.append((ids[part], null[part], np.bincount(text, minlength=len(own)) + 1, np.bincount(text, count > 0, len(own)).astype(np.int64) + (1 if trained else 0), base, score))
+        columns = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0)] * 6
+        columns[0] = pd.array(columns[0].astype(np.int64), "Int64")
+        columns[0][columns.pop(1).astype(bool)] = pd.NA
         return pd.DataFrame(dict(zip(("id", "n_tokens", "n_known", "base_score", "score"), columns)))
 
     result = texts.groupBy("block").cogroup(values.groupBy("block")).applyInPandas(work, "id long, n_tokens long, n_known long, base_score double, score double")

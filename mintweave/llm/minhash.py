@@ -238,11 +238,12 @@ def tiled(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, percent: int = 75, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``id, n_shingles, component_id`` of every text, linked where ``100 * |A n B| >= percent * |A u B|``.
 
-    Ids must be unique integers.  Null, empty and blank texts have no shingles and link with nothing; a text
+    Ids must be unique integers; a row without id has its ``n_shingles``, links with nothing and is a component of its own,
+    without id.  Null, empty and blank texts have no shingles and link with nothing; a text
     of fewer than five words is one shingle.  Repeated texts share a class.  Other columns are not read.
     """
     sketch = cut(sketches(docs, key, text), "sketch")
-    solid = sketch.filter("n > 0")
+    solid = sketch.filter("n > 0 and id is not null")
     same = ["n", "s1", "s2"]
     classes = cut(solid.groupBy(*same).agg(F.min_by(F.struct("narrow", "wide"), "id").alias("k"), F.min("id").alias("id")).select("id", *same, "k.*"), "classes")
 
@@ -265,7 +266,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, key: str = "doc_id", tex
 
     of_class = classes.join(final.withColumnRenamed("node", "id"), "id", "left").select(*same, F.coalesce("component", "id").alias("component_id"))
     joined = solid.select("id", *same).join(of_class, same).select("id", "n", "component_id")
-    none = sketch.filter("n = 0").select("id", "n", F.col("id").alias("component_id"))
+    none = sketch.filter("n = 0 or id is null").select("id", "n", F.col("id").alias("component_id"))
     return joined.unionByName(none).withColumnRenamed("n", "n_shingles")
 
 

@@ -27,13 +27,13 @@ from mintweave.session import cut
 
 BINS = 256
 #: Words whose ids a worker remembers before it starts afresh.
-REMEMBERED = 800_000
+REMEMBERED = 300_000
 #: Bytes of text whose units are looked up together.
 STEP = 1 << 20
 #: Words that are encoded in one call, and the mark between them.
 TOGETHER = 256
 MARK = "\x01"
-PIECE = "id long, start long, length long, ids_crc32 long, doc_tokens long"
+PIECE = "id long, body long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
 #: 1: ASCII letters and digits, 2: other printable ASCII but the apostrophe.
@@ -60,7 +60,7 @@ _coders: dict[int, WordIds] = {}
 
 
 def coder_of(definition: str) -> WordIds:
-    """One coder per worker process, so that tasks share what it remembers."""
+    """One tokenizer per worker process."""
     key = hash(definition)
     if key not in _coders:
         _coders.clear()
@@ -92,6 +92,11 @@ class WordIds:
         self.flat = np.zeros(1 << 18, np.uint32)
         self.used = self.filled = 0
 
+    def forget(self) -> None:
+        """Drop what is remembered: the worker lives on and may serve other stages."""
+        self._clear()
+        C.released()
+
     def _encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the words end to end, and how many each has."""
         if self.mark is None or any(MARK in w for w in words):
@@ -146,40 +151,50 @@ def measured(docs: DataFrame, definition: str, window: int, end_id: int) -> Data
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = coder_of(shared.value)
         for batch in batches:
-            keys = batch.column(0).to_pylist()
+            keys, bodies = batch.column(0).to_pylist(), batch.column(2).to_pylist()
             rows = []
             for at, end, data, offsets in C.text_steps(batch, "text", STEP):
                 with np.errstate(over="ignore"):
                     ids, first = coder.encode(data, offsets)
                 for i in range(end - at):
                     own = np.append(ids[first[i]:first[i + 1]], np.uint32(end_id)).astype("<u4")
-                    rows += [(keys[at + i], start, min(window, len(own) - start), zlib.crc32(own[start:start + window].tobytes()), len(own)) for start in range(0, len(own), window)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)] if rows else [pa.array([], pa.int64())] * 5, names=["id", "start", "length", "ids_crc32", "doc_tokens"])
+                    rows += [(keys[at + i], bodies[at + i], start, min(window, len(own) - start), zlib.crc32(own[start:start + window].tobytes()), len(own)) for start in range(0, len(own), window)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)] if rows else [pa.array([], pa.int64())] * 6, names=["id", "body", "start", "length", "ids_crc32", "doc_tokens"])
+        coder.forget()
 
-    return docs.mapInArrow(work, PIECE)
+    return C.bounded(docs).mapInArrow(work, PIECE)
 
 
 def recut(docs: DataFrame, pieces: DataFrame, definition: str, end_id: int) -> DataFrame:
-    """``pieces`` (id, start, length and more) with the checksum of their ids, for pieces cut after measuring."""
+    """``pieces`` (id, body, start, length and more) with the checksum of their ids, for pieces cut after measuring.
+
+    A text is found by its id, which may be null, and the hash of its body.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(definition)
-    wanted = cut(pieces.groupBy("id").agg(F.collect_list(F.struct("start", "length")).alias("cuts")), "cuts")
+    wanted = cut(pieces.groupBy("id", "body").agg(F.collect_set(F.struct("start", "length")).alias("cuts")), "cuts")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = coder_of(shared.value)
         for batch in batches:
-            keys, cuts = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+            keys, bodies, cuts = batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()
             rows = []
             for at, end, data, offsets in C.text_steps(batch, "text", STEP):
                 with np.errstate(over="ignore"):
                     ids, first = coder.encode(data, offsets)
                 for i in range(end - at):
                     own = np.append(ids[first[i]:first[i + 1]], np.uint32(end_id)).astype("<u4")
-                    rows += [(keys[at + i], c["start"], zlib.crc32(own[c["start"]:c["start"] + c["length"]].tobytes())) for c in cuts[at + i]]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)] if rows else [pa.array([], pa.int64())] * 3, names=["id", "start", "ids_crc32"])
+                    rows += [(keys[at + i], bodies[at + i], c["start"], c["length"], zlib.crc32(own[c["start"]:c["start"] + c["length"]].tobytes())) for c in cuts[at + i]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)] if rows else [pa.array([], pa.int64())] * 5, names=["id", "body", "start", "length", "ids_crc32"])
+        coder.forget()
 
-    some = C.likely(docs.filter("id is not null"), wanted.select("id"), "id")[0]
-    sums = some.join(wanted, "id").select("id", "text", "cuts").mapInArrow(work, "id long, start long, ids_crc32 long")
-    return pieces.drop("ids_crc32").join(sums, ["id", "start"])
+    some = C.likely(docs.filter("id is not null"), wanted.filter("id is not null").select("id"), "id")[0].unionByName(docs.filter("id is null"))
+    asked = wanted.withColumnsRenamed({"id": "i", "body": "b"})
+    texts = some.join(asked, (F.col("body") == F.col("b")) & F.col("id").eqNullSafe(F.col("i"))).select("id", "text", "body", "cuts")
+    names = ["id", "body", "start", "length"]
+    # equal rows have equal sums, of which one is enough
+    sums = texts.mapInArrow(work, "id long, body long, start long, length long, ids_crc32 long").dropDuplicates(names).withColumnsRenamed({n: f"_{n}" for n in names})
+    same = [F.col(n) == F.col(f"_{n}") for n in names[1:]]
+    return pieces.drop("ids_crc32").join(sums, same[0] & same[1] & same[2] & F.col("id").eqNullSafe(F.col("_id"))).drop(*[f"_{n}" for n in names])
 
 
 def combinations(bins: int, depth: int = 3) -> list[tuple[int, ...]]:
@@ -272,18 +287,19 @@ def placed(ranked: DataFrame, ranges: tuple[np.ndarray, ...]) -> DataFrame:
 def pack(docs: DataFrame, definition: str, window: int = 4096, end_id: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``id, start, length, ids_crc32, doc_tokens, sequence_id, offset`` of every piece.
 
-    ``definition`` is the tokenizer's JSON text.  Ids must be unique.  A null text is empty: one end id.
+    ``definition`` is the tokenizer's JSON text.  Ids may be null or repeat: each row is a text of its own, and texts that share an id
+    have its pieces together.  A null text is empty: one end id.
     Every id lies in one piece; offsets of a sequence have no gap.  Other columns are not read.
     """
-    rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
+    rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("body"))
     step = window // BINS
     pieces = cut(measured(rows, definition, window, end_id), "pieces")
     parts = max(16, pieces.rdd.getNumPartitions() * 4)
     kind = F.when(F.col("length") == window, BINS + 1).otherwise(F.ceil(F.col("length") / step).cast("long"))
-    dealt = pieces.withColumn("class", kind.cast("long")).withColumn("part", F.pmod(F.xxhash64("id", "start"), F.lit(parts)))
+    dealt = pieces.withColumn("class", kind.cast("long")).withColumn("part", F.pmod(F.xxhash64("id", "body", "start"), F.lit(parts)))
     counts = dealt.groupBy("class", "part").agg(F.count(F.lit(1)).alias("n"))
     before = counts.select("class", "part", (F.sum("n").over(Window.partitionBy("class").orderBy("part")) - F.col("n")).alias("before"))
-    within = F.row_number().over(Window.partitionBy("class", "part").orderBy("id", "start")) - 1
+    within = F.row_number().over(Window.partitionBy("class", "part").orderBy("id", "body", "start")) - 1
     ranked = dealt.withColumn("within", within).join(before, ["class", "part"]).withColumn("rank", F.col("within") + F.col("before"))
 
     sizes = {r[0]: r[1] for r in counts.groupBy("class").agg(F.sum("n")).collect()}
@@ -304,7 +320,7 @@ def pack(docs: DataFrame, definition: str, window: int = 4096, end_id: int = 2,
     while edges[-1] < total:
         edges.append(edges[-1] + (1 << ((total - edges[-1]).bit_length() - 1)))
     at = F.get(F.array(*[F.lit(v).cast("long") for v in begins]), F.col("part").cast("int"))
-    run = F.coalesce(F.sum("length").over(Window.partitionBy("part").orderBy("class", "id", "start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    run = F.coalesce(F.sum("length").over(Window.partitionBy("part").orderBy("class", "id", "body", "start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     stream = rest.withColumn("lo", at + run).withColumn("hi", F.col("lo") + F.col("length"))
     marks = F.array_union(
         F.transform(F.sequence(F.floor(F.col("lo") / window), F.floor((F.col("hi") - 1) / window)), lambda k: k * window),
@@ -317,10 +333,10 @@ def pack(docs: DataFrame, definition: str, window: int = 4096, end_id: int = 2,
     number = F.floor(F.least(F.col("s.x"), F.lit(edges[0])) / window) + F.size(F.filter(tail, lambda e: (e > edges[0]) & (e <= F.col("s.x"))))
     base = F.when(F.col("s.x") < edges[0], F.floor(F.col("s.x") / window) * window).otherwise(F.array_max(F.filter(tail, lambda e: e <= F.col("s.x"))))
     chopped = stream.withColumn("parts", F.size(cuts)).withColumn("s", F.explode(spans)).select(
-        "id", (F.col("start") + F.col("s.x") - F.col("lo")).alias("start"), (F.col("s.y") - F.col("s.x")).alias("length"), "ids_crc32", "doc_tokens",
+        "id", "body", (F.col("start") + F.col("s.x") - F.col("lo")).alias("start"), (F.col("s.y") - F.col("s.x")).alias("length"), "ids_crc32", "doc_tokens",
         (F.lit(planned + full) + number).cast("long").alias("sequence_id"), (F.col("s.x") - base).cast("long").alias("offset"), "parts",
     )
     chopped = cut(chopped, "chopped")
-    intact = chopped.filter("parts = 0").drop("parts")
+    intact = chopped.filter("parts = 0").drop("parts", "body")
     again = recut(rows, chopped.filter("parts > 0").drop("parts"), definition, end_id)
     return filled.unionByName(whole).unionByName(intact).unionByName(again.select(*intact.columns))
