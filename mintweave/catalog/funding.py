@@ -134,17 +134,16 @@ def _(spark, sf):
 
 
 @query("asof_funding_lookback", "tape_c", "transfers", "wallet_tx", sql=f"""
-WITH {FIRST}, ins AS (SELECT DISTINCT recipient, signature FROM transfers WHERE amount > 150000),
+WITH {FIRST}, ins AS (SELECT DISTINCT recipient, signature FROM transfers),
 rows_ AS (SELECT address AS wallet, w.signature, block_time, slot, TRUE AS keep FROM wallet_tx w WHERE err IS NULL OR (address, w.signature) IN (SELECT (recipient, signature) FROM ins)),
 tx AS (SELECT wallet, signature, block_time, NULL AS source FROM rows_ WHERE (wallet, signature) NOT IN (SELECT (recipient, signature) FROM ins)
- UNION ALL SELECT recipient, signature, block_time, source FROM transfers WHERE amount > 150000),
+ UNION ALL SELECT recipient, signature, block_time, source FROM transfers),
 ranked AS (SELECT f.mint, f.wallet, tx.source, tx.signature, tx.block_time, row_number() OVER (PARTITION BY f.mint, f.wallet ORDER BY tx.block_time DESC, tx.signature DESC, tx.source DESC NULLS LAST) AS r
  FROM first_buys f JOIN tx ON tx.wallet = f.wallet AND tx.block_time < f.block_time),
 hit AS (SELECT *, row_number() OVER (PARTITION BY mint, wallet ORDER BY r) AS k FROM ranked WHERE r <= 3 AND source IS NOT NULL)
 SELECT f.mint, f.wallet, hit.source AS direct_funder, hit.signature AS funding_signature FROM first_buys f LEFT JOIN hit ON hit.mint = f.mint AND hit.wallet = f.wallet AND k = 1""")
 def _(spark, sf):
-    some = B.transfers(spark, sf).filter("amount > 150000")
-    out = M.asof_funding(T.first_buys(B.tape_c(spark, sf)), some, B.wallet_tx(spark, sf), lookback=3)
+    out = M.asof_funding(T.first_buys(B.tape_c(spark, sf)), B.transfers(spark, sf), B.wallet_tx(spark, sf), lookback=3, width=WIDTH)
     return out.select("mint", "wallet", "direct_funder", "funding_signature")
 
 
@@ -216,11 +215,10 @@ def _(spark, sf):
     return M.group_sizes(M.intermediary_members(paths(spark, sf)))
 
 
-@query("funding_coverage", "tape_l", "transfers", sql=f"""WITH {FIRST}, o AS (SELECT mint, ('S' || wallet) IN (SELECT recipient FROM transfers WHERE amount > 20000) AS observed FROM first_buys)
+@query("funding_coverage", "tape_l", "transfers", sql=f"""WITH {FIRST}, o AS (SELECT mint, ('S' || wallet) IN (SELECT recipient FROM transfers) AS observed FROM first_buys)
 SELECT mint, round(avg(observed::INT), 6) AS coverage, CASE WHEN avg(observed::INT) >= 0.8 THEN 'complete' WHEN avg(observed::INT) > 0.2 THEN 'partial' ELSE 'missing' END AS level FROM o GROUP BY mint""")
 def _(spark, sf):
-    big = B.transfers(spark, sf).filter("amount > 20000")
-    out = M.funding_coverage(M.asof_funding(T.first_buys(B.tape_s(spark, sf)), big))
+    out = M.funding_coverage(M.asof_funding(T.first_buys(B.tape_s(spark, sf)), B.transfers(spark, sf), width=WIDTH))
     return out.withColumn("coverage", F.round("coverage", 6))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from mintweave import params as P
@@ -11,6 +13,8 @@ from mintweave.functions import scalars as S
 from mintweave.operators import graph as G
 from mintweave.operators import store as D
 from mintweave.operators import tape as T
+from mintweave.operators import versions as V
+from mintweave.session import shared_folder
 from mintweave.sources import bindings as B
 
 
@@ -21,6 +25,29 @@ def _(spark, sf):
     return D.upsert_by_key(tape.filter("is_buy"), tape.filter("not is_buy"), D.KEYS["trades"], "block_time")
 
 
+def stored(spark, name):
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@query("stored_trades", "tape_l", sql="""
+SELECT signature, wallet, mint, is_buy, block_time, quote_amount FROM (SELECT *, row_number() OVER (PARTITION BY signature, wallet, mint, is_buy ORDER BY block_time DESC, quote_amount DESC) AS r FROM tape) WHERE r = 1""")
+def _(spark, sf):
+    """Trades stored by two runs, one of them repeated, and read back."""
+    tape, path = B.tape_l(spark, sf).select("signature", "wallet", "mint", "is_buy", "block_time", "quote_amount"), stored(spark, "trades")
+    for run, part in (("one", tape.filter("is_buy")), ("two", tape), ("two", tape)):
+        V.upsert_version(spark, path, part, D.KEYS["trades"], "block_time", run, buckets=8)
+    return V.read_version(spark, path, ", ".join(f"{n} {k}" for n, k in tape.dtypes))
+
+
+@query("stored_history", "tape_l", sql="SELECT wallet, mint, CASE WHEN bool_or(is_buy) THEN 'buy' ELSE 'sell' END AS side FROM tape GROUP BY ALL")
+def _(spark, sf):
+    """The launches of every wallet: buyers are stored first, sellers after them where they are new."""
+    tape, path = B.tape_l(spark, sf), stored(spark, "history")
+    for side, rule in (("buy", "is_buy"), ("sell", "not is_buy")):
+        V.insert_version(spark, path, tape.filter(rule).select("wallet", "mint", F.lit(side).alias("side")), D.KEYS["wallet_launch_history"], side, buckets=8)
+    return V.read_version(spark, path, "wallet long, mint long, side string")
+
+
 @query("insert_new", "tape_l", sql="SELECT DISTINCT wallet, mint FROM tape WHERE NOT is_buy EXCEPT SELECT wallet, mint FROM tape WHERE is_buy")
 def _(spark, sf):
     tape = B.tape_l(spark, sf).select("wallet", "mint", "is_buy")
@@ -66,6 +93,15 @@ def _(spark, sf):
     return D.score_rows(risk.withColumn("classification", F.lit("")), F.lit(AS_OF).cast("long")).select("mint", "created_at", "score", "coordination")
 
 
+@query("stored_scores", "tape_l", sql=f"WITH {SCORES} SELECT mint, created_at, score FROM scores")
+def _(spark, sf):
+    """The score log as two appends, the second one repeated."""
+    log, path = scores(spark, sf).select("mint", "created_at", "score"), stored(spark, "scores")
+    for run, rule in (("even", "score % 2 = 0"), ("odd", "score % 2 = 1"), ("odd", "score % 2 = 1")):
+        V.write_version(spark, path, log.filter(rule), ["mint"], run, buckets=8)
+    return V.read_version(spark, path, ", ".join(f"{n} {k}" for n, k in log.dtypes))
+
+
 @query("watch_alerts", "tape_l", sql=f"""WITH {SCORES},
 w AS (SELECT mint AS watch, created_at, score, leg >= 5 AS g, score >= 60 AS x, lag(score) OVER o AS ps, lag(leg >= 5) OVER o AS pg, lag(score >= 60) OVER o AS px FROM scores WINDOW o AS (PARTITION BY mint ORDER BY created_at))
 SELECT watch, created_at, coalesce(ps, 0) AS previous_score, score, concat_ws('; ', CASE WHEN abs(score - coalesce(ps, 0)) >= 8 THEN 'score moved' END, CASE WHEN g AND NOT coalesce(pg, FALSE) THEN 'graduated' END,

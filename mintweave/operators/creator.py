@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from mintweave import params as P
 from mintweave.functions import scalars as S
 from mintweave.operators.entities import scope_keys
-from mintweave.operators.skew import first_n
+from mintweave.operators.funding import asof_funding
+from mintweave.operators.skew import DAY, first_n
 
 
 
@@ -62,6 +63,16 @@ def creator_funding(launches: DataFrame, upstream: DataFrame) -> DataFrame:
     return launches.select("mint", "creator").join(src, "creator", "left").select("mint", "creator", "funding_source", "funding_amount")
 
 
+def creator_funding_before(launches: DataFrame, transfers: DataFrame, width: int = 30 * DAY) -> DataFrame:
+    """The newest inflow of each creator strictly before its launch: money that came later cannot have paid for it."""
+    made = launches.select(
+        "mint", F.col("creator").alias("wallet"), F.col("created_at").alias("block_time"), F.lit(0).cast("long").alias("slot"), F.lit(None).cast("string").alias("signature")
+    ).filter("wallet is not null and block_time is not null")
+    found = asof_funding(made, transfers, lookback=None, width=width)
+    money = found.select("mint", F.col("direct_funder").alias("funding_source"), "funding_amount", "funding_time")
+    return launches.select("mint", "creator").join(money, "mint", "left")
+
+
 def creator_links(
     funded_by: DataFrame, paths: DataFrame, creators: DataFrame, assessment: DataFrame | None = None,
     scope: str = "global", max_hops: int = P.MAX_HOPS,

@@ -114,7 +114,7 @@ def launch_scan(
 
     # Creator.
     if deep:
-        made = C.creator_funding(t.launches, M.upstream_of(t.transfers))
+        made = C.creator_funding_before(t.launches, t.transfers, width=width)
         links = cut(C.creator_links(funding, paths, made, judged, scope, max_hops), "links")
         linked = links.groupBy("mint").agg(F.count(F.lit(1)).alias("linked"))
         record = C.creator_history(t.launches, trades).join(C.creator_graduations(t.launches).drop("creator"), "mint").join(linked, "mint", "left")
