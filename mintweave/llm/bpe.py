@@ -4,7 +4,8 @@ Texts pass in blocks.  A block keeps its texts as lists of pre-token numbers and
 shard merges the lists of all blocks; Spark folds the ranked merges over the byte arrays of its distinct pre-tokens with
 higher-order functions; the shard answers each block's list in the list's own order.  A block then puts its answers together
 and gives its texts their ids.  Lists, answers and numbers are packed columns, there are as many shards as input partitions, and no
-task holds more than one shard or one block.
+task holds more than one shard or one group of ``TOGETHER`` blocks.  Texts are written once, bucketed by their group, and never cross
+a shuffle: only lists and answers do.
 
 The rank map is a literal: ``buckets[hash(left, right)]`` holds a small map from the pair to the id that it
 merges to.  The id of a merge is its rank, so the fold takes the lowest one, leftmost first, until none is
@@ -27,14 +28,16 @@ from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mintweave.llm import common as C
-from mintweave.session import cut
 
 #: Bytes of text whose distinct pre-tokens are listed together.
 BLOCK = 8 << 20
+#: Blocks of one task that are put together as one group.
+TOGETHER = 4
 LONG = 128
 NONE = 2**31 - 1
 SLOTS = 1 << 17
@@ -193,8 +196,8 @@ class Block:
         self.keys += keys
         self.size += len(data)
 
-    def rows(self, block: int, shards: int) -> Iterator[tuple]:
-        """``block, shard, ids, lengths, shards, body``: the texts and each word's shard (shard -1), then each shard's list of words."""
+    def rows(self, home: int, block: int, shards: int) -> Iterator[tuple]:
+        """``home, block, shard, ids, lengths, shards, body``: the texts and each word's shard (shard -1), then each shard's list of words."""
         raw = [w.encode() for w in self.number]
         size = np.array([len(r) for r in raw], np.int64)
         stop = np.append(0, np.cumsum(size))
@@ -205,10 +208,10 @@ class Block:
         ids = np.array([0 if k is None else k for k in self.keys], np.int64)
         null = np.array([k is None for k in self.keys], np.uint8)
         numbers = np.concatenate([np.zeros(0, np.int32), *self.texts])
-        yield block, -1, ids.tobytes() + null.tobytes(), squeezed(np.concatenate([np.zeros(0, np.int64), *self.length])), halves(shard.astype(np.int32)), halves(numbers)
+        yield home, block, -1, ids.tobytes() + null.tobytes(), squeezed(np.concatenate([np.zeros(0, np.int64), *self.length])), halves(shard.astype(np.int32)), halves(numbers)
         for s in np.unique(shard):
             own = order[shard[order] == s]
-            yield block, int(s), None, squeezed(size[own].astype(np.int32)), None, squeezed(np.frombuffer(b"".join([raw[k] for k in own]), np.uint8))
+            yield home, block, int(s), None, squeezed(size[own].astype(np.int32)), None, squeezed(np.frombuffer(b"".join([raw[k] for k in own]), np.uint8))
 
 
 def _start_ids(words: list[bytes], known: dict[bytes, int], of_byte: np.ndarray) -> pa.Array:
@@ -250,32 +253,33 @@ def _ragged(flat: np.ndarray, first: np.ndarray, pick: np.ndarray) -> tuple[np.n
 
 
 def _merged(lists: DataFrame, docs: DataFrame, ranks: dict[bytes, int], shared, shards: int) -> DataFrame:
-    """``block, shard, lengths, body``: the ids of every word of every list, in the list's order."""
+    """``home, block, shard, lengths, body``: the ids of every word of every list, in the list's order."""
 
     def words_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Per shard its number of distinct words, these as byte ids, then each block's list as numbers of them."""
         known = shared.value
         of_byte = np.array([known.get(bytes([b]), -1) for b in range(256)], np.int32)
 
-        def row(block: int | None, shard: int, units: pa.Array | None, picks: bytes | None, n: int = 1) -> pa.RecordBatch:
+        def row(home: int | None, block: int | None, shard: int, units: pa.Array | None, picks: bytes | None, n: int = 1) -> pa.RecordBatch:
             units = pa.nulls(n, pa.list_(pa.int32())) if units is None else units
-            return pa.RecordBatch.from_arrays([pa.array([block] * n, pa.int64()), pa.array([shard] * n, pa.int32()), units, pa.array([picks] * n, pa.binary())], names=["block", "shard", "bytes", "picks"])
+            columns = [pa.array([home] * n, pa.int64()), pa.array([block] * n, pa.int64()), pa.array([shard] * n, pa.int32()), units, pa.array([picks] * n, pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, names=["home", "block", "shard", "bytes", "picks"])
 
-        for rows in _grouped(batches, 1):
-            shard, sizes = rows[0][1], [opened(r[2], np.int32) for r in rows]
+        for rows in _grouped(batches, 2):
+            shard, sizes = rows[0][2], [opened(r[3], np.int32) for r in rows]
             size = np.concatenate(sizes).astype(np.int64)
-            data = np.concatenate([opened(r[3], np.uint8) for r in rows])
+            data = np.concatenate([opened(r[4], np.uint8) for r in rows])
             stop = np.append(0, np.cumsum(size))
             with np.errstate(over="ignore"):
                 _, spot, back = np.unique(C.word_hashes(data, stop[:-1], stop[1:]), return_index=True, return_inverse=True)
             raw, begin, end = data.tobytes(), stop[spot].tolist(), stop[spot + 1].tolist()
-            yield row(len(begin), shard, None, None)
+            yield row(None, len(begin), shard, None, None)
             for at in range(0, len(begin), WIDTH):
                 part = [raw[a:b] for a, b in zip(begin[at:at + WIDTH], end[at:at + WIDTH])]
-                yield row(None, shard, _start_ids(part, known, of_byte), None, len(part))
+                yield row(None, None, shard, _start_ids(part, known, of_byte), None, len(part))
             at = 0
             for r, own in zip(rows, sizes):
-                yield row(r[0], shard, None, squeezed(back[at:at + len(own)].astype(np.int32)))
+                yield row(r[0], r[1], shard, None, squeezed(back[at:at + len(own)].astype(np.int32)))
                 at += len(own)
 
     def answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -284,7 +288,7 @@ def _merged(lists: DataFrame, docs: DataFrame, ranks: dict[bytes, int], shared,
             at = 0
             while at < batch.num_rows:
                 if left:
-                    units = batch.column(2).slice(at, min(left, batch.num_rows - at))
+                    units = batch.column(3).slice(at, min(left, batch.num_rows - at))
                     parts.append((units.flatten().to_numpy(), np.diff(units.offsets.to_numpy())))
                     left -= len(units)
                     at += len(units)
@@ -292,18 +296,19 @@ def _merged(lists: DataFrame, docs: DataFrame, ranks: dict[bytes, int], shared,
                         flat = np.concatenate([p[0] for p in parts])
                         first = np.append(0, np.cumsum(np.concatenate([p[1] for p in parts])))
                         parts = []
-                elif not batch.column(3)[at].is_valid:
-                    left = batch.column(0)[at].as_py()
+                elif not batch.column(4)[at].is_valid:
+                    left = batch.column(1)[at].as_py()
                     at += 1
                 else:
-                    ids, size = _ragged(flat, first, opened(batch.column(3)[at].as_py(), np.int32))
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 1), batch.column(1).slice(at, 1), pa.array([halves(size.astype(np.int32))]), pa.array([halves(ids.astype(np.int32))])], names=["block", "shard", "lengths", "body"])
+                    ids, size = _ragged(flat, first, opened(batch.column(4)[at].as_py(), np.int32))
+                    own = [*(batch.column(k).slice(at, 1) for k in range(3)), pa.array([halves(size.astype(np.int32))]), pa.array([halves(ids.astype(np.int32))])]
+                    yield pa.RecordBatch.from_arrays(own, names=["home", "block", "shard", "lengths", "body"])
                     at += 1
 
-    dealt = lists.select("block", "shard", "lengths", "body").repartition(shards, "shard").sortWithinPartitions("shard", "block")
-    mixed = dealt.mapInArrow(words_first, "block long, shard int, bytes array<int>, picks binary")
-    merged = mixed.select("block", "shard", F.when(F.col("bytes").isNotNull(), folded(F.col("bytes"), rank_map(docs, ranks))).alias("bytes"), "picks")
-    return merged.mapInArrow(answered, "block long, shard int, lengths binary, body binary")
+    dealt = lists.select("home", "block", "shard", "lengths", "body").repartition(shards, "shard").sortWithinPartitions("shard", "block")
+    mixed = dealt.mapInArrow(words_first, "home long, block long, shard int, bytes array<int>, picks binary")
+    merged = mixed.select("home", "block", "shard", F.when(F.col("bytes").isNotNull(), folded(F.col("bytes"), rank_map(docs, ranks))).alias("bytes"), "picks")
+    return merged.mapInArrow(answered, "home long, block long, shard int, lengths binary, body binary")
 
 
 def encode(docs: DataFrame, definition: str, pattern: str, key: str = "doc_id", text: str = "text", ids: bool = False) -> DataFrame:
@@ -325,8 +330,9 @@ def encode(docs: DataFrame, definition: str, pattern: str, key: str = "doc_id",
         block = Block(find)
 
         def done() -> Iterator[pa.RecordBatch]:
-            for row in block.rows(made, shards):
-                yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, (pa.int64(), pa.int32(), *[pa.binary()] * 4))], names=["block", "shard", "ids", "lengths", "shards", "body"])
+            home = (made >> 32 << 32) + (made & 0xFFFFFFFF) // TOGETHER
+            for row in block.rows(home, made, shards):
+                yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, (pa.int64(), pa.int64(), pa.int32(), *[pa.binary()] * 4))], names=["home", "block", "shard", "ids", "lengths", "shards", "body"])
 
         for batch in batches:
             keys = batch.column(0).to_pylist()
@@ -341,40 +347,44 @@ def encode(docs: DataFrame, definition: str, pattern: str, key: str = "doc_id",
         block = None
         C.released()
 
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def join(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        """The rows of a group of blocks: each block's texts with the answers to its lists."""
         pieces = {rank: token for token, rank in shared.value.items()}
         figures = [str(k) for k in range(max(pieces, default=0) + 1)]
         names = ["id", "n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if ids else [])]
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary()]
-        for (_, _, keys, lengths, word_shards, body), *answers in _grouped(batches, 0):
+        found = []
+        answers = answers.sort_by([("block", "ascending"), ("shard", "ascending")])
+        for row in range(texts.num_rows):
+            own = answers.filter(pc.equal(answers["block"], texts["block"][row]))
             # lists follow each other by shard, each in the order of its numbers
-            order = np.argsort(joined(word_shards), kind="stable")
-            flat = np.concatenate([np.zeros(0, np.int32), *(joined(a[5]) for a in answers)]).tolist()
-            size = np.concatenate([np.zeros(0, np.int32), *(joined(a[3]) for a in answers)])
+            order = np.argsort(joined(texts["shards"][row].as_py()), kind="stable")
+            flat = np.concatenate([np.zeros(0, np.int32), *(joined(v.as_py()) for v in own["body"])]).tolist()
+            size = np.concatenate([np.zeros(0, np.int32), *(joined(v.as_py()) for v in own["lengths"])])
             stop = np.append(0, np.cumsum(size)).tolist()
             digits, decoded, counts = np.empty(len(order), object), np.empty(len(order), object), np.empty(len(order), np.int64)
             counts[order] = size
             for k, a, b in zip(order.tolist(), stop[:-1], stop[1:]):
-                own = flat[a:b]
-                digits[k] = " ".join([figures[x] for x in own])
-                decoded[k] = b"".join([pieces[x] for x in own])
-            length = opened(lengths, np.int64)
-            n, numbers = len(length), joined(body)
+                part = flat[a:b]
+                digits[k] = " ".join([figures[x] for x in part])
+                decoded[k] = b"".join([pieces[x] for x in part])
+            length, keys = opened(texts["lengths"][row].as_py(), np.int64), texts["ids"][row].as_py()
+            n, numbers = len(length), joined(texts["body"][row].as_py())
             own_ids, null = np.frombuffer(keys, np.int64, n), np.frombuffer(keys, np.uint8, n, 8 * n)
             at, out = 0, []
             for k in range(n):
                 used = numbers[at:at + length[k]]
                 at += length[k]
                 line = " ".join(digits[used])
-                row = (None if null[k] else int(own_ids[k]), int(counts[used].sum()), hashlib.sha256(line.encode()).hexdigest(), hashlib.sha256(b"".join(decoded[used])).hexdigest())
-                out.append((*row, np.array(line.split(), "<u4").tobytes()) if ids else row)
-                if len(out) == 2000 or k == n - 1:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=names)
-                    out = []
+                value = (None if null[k] else int(own_ids[k]), int(counts[used].sum()), hashlib.sha256(line.encode()).hexdigest(), hashlib.sha256(b"".join(decoded[used])).hexdigest())
+                out.append((*value, np.array(line.split(), "<u4").tobytes()) if ids else value)
+            found.append(pa.table([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=names))
+        del answers, digits, decoded, flat
+        C.released()
+        return pa.concat_tables(found)
 
-    packed = cut(C.bounded(rows).mapInArrow(split, "block long, shard int, ids binary, lengths binary, shards binary, body binary"), "pre-tokens")
+    kept = C.bounded(rows).mapInArrow(split, "home long, block long, shard int, ids binary, lengths binary, shards binary, body binary")
+    packed = C.bucketed(kept, "home", shards, "pretokens")
     answers = _merged(packed.filter("shard >= 0"), docs, ranks, shared, shards)
-    nothing = F.lit(None).cast("binary")
-    both = packed.filter("shard < 0").unionByName(answers.select("block", "shard", nothing.alias("ids"), "lengths", nothing.alias("shards"), "body"))
-    dealt = both.repartition(shards, "block").sortWithinPartitions("block", "shard")
-    return dealt.mapInArrow(join, "id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids binary" if ids else ""))
+    both = packed.filter("shard < 0").groupBy("home").cogroup(answers.groupBy("home"))
+    return both.applyInArrow(join, "id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids binary" if ids else ""))

@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mintweave.session import shared_folder
+
 #: Bytes of text that one vectorised step handles; a longer single text is one step of its own.
 STEP_BYTES = 1 << 19
 #: Bits of the filter that spares most texts a shuffle; a fixed 1 MB.
@@ -165,6 +167,19 @@ def per_batch(frame: DataFrame, work: Callable[[pa.RecordBatch], Iterator[pa.Rec
     return bounded(frame).mapInArrow(run, schema)
 
 
+def bucketed(frame: DataFrame, key: str, parts: int, name: str) -> DataFrame:
+    """``frame`` written once to the shared folder in buckets of ``key``: what is grouped or joined by it later does not move it again.
+
+    There are ``parts`` buckets, or as many as a shuffle has parts where those are more (fewer would have the engine deal the table anew).
+    The table's name stays in the session's catalog; its files lie beside those of ``cut``.
+    """
+    spark = frame.sparkSession
+    buckets = min(max(parts, int(spark.conf.get("spark.sql.shuffle.partitions"))), int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets")))
+    table = f"{name}_{uuid.uuid4().hex}"
+    frame.write.bucketBy(buckets, key).option("path", f"{shared_folder(spark).rstrip('/')}/{table}").saveAsTable(table)
+    return spark.table(table)
+
+
 def binary_array(pieces: list[np.ndarray]) -> pa.Array:
     """One binary value per numpy array."""
     return pa.array([p.tobytes() for p in pieces], pa.binary())
