@@ -13,6 +13,7 @@ so a class that holds most texts is not sorted in one task.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -71,8 +72,8 @@ def coder_of(definition: str) -> WordIds:
 class WordIds:
     """Token ids of whole texts, each distinct unit encoded once.
 
-    Right for tokenizers that lower-case, drop white space and never join letters, digits and marks, which the
-    caller vouches for.
+    Right for tokenizers that lower-case, drop white space and never join letters, digits and marks, and whose special tokens
+    take no blanks beside them, which the caller vouches for.
     """
 
     def __init__(self, definition: str) -> None:
@@ -80,6 +81,11 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
+        # special tokens are found in a text as it stands, before it is normalised; of two that begin together the longer one
+        self.special = {token.content.encode(): number for number, token in self.tokenizer.get_added_tokens_decoder().items() if token.special}
+        longest = sorted(self.special, key=len, reverse=True)
+        self.marks = re.compile(b"|".join(map(re.escape, longest))) if longest else None
+        # between them nothing is one
         self.tokenizer.encode_special_tokens = True
         # a word of its own between words, told by its one id; a tokenizer without such an id has words sent singly
         mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
@@ -121,7 +127,23 @@ class WordIds:
         self.filled += total
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts, and where each text's begin."""
+        """Ids of all texts, and where each text's begin; a special token in a text is its one id, as in the tokenizer's plain call."""
+        raw = data.tobytes()
+        texts = zip(offsets[:-1].tolist(), offsets[1:].tolist()) if self.marks and self.marks.search(raw) else ()
+        spans = [m.span() for a, b in texts for m in self.marks.finditer(raw, a, b)]
+        if not spans:
+            return self._plain(data, offsets)
+        starts = np.array([a for a, _ in spans], np.int64)
+        data = data.copy()
+        for a, b in spans:
+            data[a:b] = 0x20
+        edges = np.sort(np.concatenate([offsets, starts]))
+        ids, first = self._plain(data, edges)
+        ids = np.insert(ids, first[np.searchsorted(edges, starts)], [self.special[raw[a:b]] for a, b in spans])
+        return ids, first[np.searchsorted(edges, offsets)] + np.searchsorted(starts, offsets)
+
+    def _plain(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of stretches without special tokens, and where each one's begin."""
         data = C.LOWER[data]
         starts, ends, first = units(data, offsets)
         if not len(starts):

@@ -15,7 +15,6 @@ DEFINITION = open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8")
 def check(spark, rows, padding=None):
     docs = spark.createDataFrame([(i, t, 1, 2) for i, t in rows], "doc_id long, text string, start int, length int")
     tokenizer = Tokenizer.from_str(DEFINITION)
-    tokenizer.encode_special_tokens = True
     ids = {i: np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 2], "<u4") for i, t in rows}
     found = packing.pack(docs, DEFINITION).collect()
     pieces, sequences = defaultdict(list), defaultdict(list)
@@ -50,6 +49,17 @@ def test_cases(spark):
     check(spark, [(1, None), (2, ""), (3, "Hello  World x"), (4, "I'll don't 123 İ café <|endoftext|>"), (5, "same"), (6, "same"), (7, "long word " * 9000), (8, "x" * 5000)], 0.0)
 
 
+def test_special_tokens_in_texts(spark):
+    """Each is its one id, as in the tokenizer's plain call: at both ends, side by side, inside words, and not in another case."""
+    texts = ["x <|endoftext|> y", "<|endoftext|>", "<|startoftext|>a", "b<|endoftext|>", "<|endoftext|><|startoftext|>", "a<|endoftext|>b's <|ENDOFTEXT|> <|endof", "text|>", "", "e<|endoftext|>\u0301 <|endoftext|", "plain", "<|endoftext|>" * 5000]
+    check(spark, list(enumerate(texts)))
+    coder, tokenizer = packing.WordIds(DEFINITION), Tokenizer.from_str(DEFINITION)
+    raw = [t.encode() for t in texts]
+    ids, first = coder.encode(np.frombuffer(b"".join(raw), np.uint8), np.append(0, np.cumsum([len(r) for r in raw])))
+    for k, text in enumerate(texts):
+        assert ids[first[k]:first[k + 1]].tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
 def test_test_table(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()
     check(spark, [tuple(r) for r in docs], 0.02)
