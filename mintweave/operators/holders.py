@@ -16,13 +16,20 @@ def biggest_first():
     return [F.col("amount").desc(), F.col("owner")]
 
 
-def holders_by_priority(holders: DataFrame, mints: DataFrame, limit: int = 50) -> DataFrame:
-    """Holders from the first source that listed any, with the coverage that source gives."""
+def holders_by_priority(holders: DataFrame, mints: DataFrame, limit: int | None = 50) -> DataFrame:
+    """Holders from the first source that listed any, with the coverage that source gives.
+
+    ``None`` keeps all of them, without a position.
+    """
     rank = F.coalesce(*[F.when(F.col("provider") == name, i) for i, (name, _) in enumerate(PROVIDERS)])
     listed = holders.filter("owner is not null and amount > 0").withColumn("_p", rank)
     best = listed.groupBy("mint").agg(F.min("_p").alias("_p"))
     level = F.coalesce(*[F.when(F.col("_p") == i, cover) for i, (_, cover) in enumerate(PROVIDERS)])
-    top = first_n(listed.join(best, ["mint", "_p"]), ["mint"], biggest_first(), limit).withColumn("coverage", level)
+    chosen = listed.join(best, ["mint", "_p"]).withColumn("coverage", level)
+    if limit is None:
+        top = chosen.withColumn("position", F.lit(None).cast("int"))
+    else:
+        top = first_n(chosen, ["mint"], biggest_first(), limit)
     none = mints.select("mint").join(best, "mint", "left_anti").withColumn("coverage", F.lit("missing"))
     return top.select("mint", "owner", "amount", "provider", "position", "coverage").unionByName(none, allowMissingColumns=True)
 

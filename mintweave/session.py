@@ -7,6 +7,9 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,6 +49,29 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+_under: ContextVar[str | None] = ContextVar("under", default=None)
+
+
+def run_folder(spark: SparkSession, name: str) -> str:
+    """A folder of its own for one run, in the shared folder; it comes into being with its first table."""
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def writing_under(folder: str) -> Iterator[None]:
+    """Tables that ``cut`` writes meanwhile go to ``folder``, so that a run can remove all of its own."""
+    before = _under.set(folder)
+    try:
+        yield
+    finally:
+        _under.reset(before)
+
+
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def cut(df: DataFrame, name: str = "step") -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
@@ -54,6 +80,6 @@ def cut(df: DataFrame, name: str = "step") -> DataFrame:
     executors that made it, and it is computed once.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{(_under.get() or shared_folder(spark)).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
