@@ -6,10 +6,11 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from mintweave import params as P
 from mintweave.catalog.registry import query
 from mintweave.catalog.store import EVENTS, user_events
 from mintweave.catalog.tape import AS_OF, DAY, r6
-from mintweave.catalog.wallets import CLASS, PARTS, TOTALS, month_clusters
+from mintweave.catalog.wallets import CLASS, CONCENTRATION, PARTS, TOTALS, month_clusters
 from mintweave.operators import graph as G
 from mintweave.operators import tape as T
 from mintweave.operators import wallets as W
@@ -226,7 +227,7 @@ _SCANS: dict[tuple[str, str], object] = {}
 
 
 def scan(spark, sf):
-    """The full scan of the customer tape; its stored tables serve every query of a session."""
+    """The full scan of the customer tape; a stage made for one query serves the others of the session."""
     at = (spark.sparkContext.applicationId, sf)
     if at not in _SCANS:
         _SCANS[at] = _scan(spark, sf)
@@ -234,7 +235,9 @@ def scan(spark, sf):
 
 
 def _scan(spark, sf):
-    t = Tables(B.tape_c(spark, sf), B.launches(spark, sf), B.transfers(spark, sf), B.wallet_tx(spark, sf), B.entities(spark, sf))
+    t = Tables(
+        B.tape_c(spark, sf), B.launches(spark, sf), B.transfers(spark, sf), B.wallet_tx(spark, sf), B.entities(spark, sf), holders=B.holders(spark, sf)
+    )
     return launch_scan(t, "full", scope="mint", fanout_threshold=4, width=180 * DAY, as_of=AS_OF)
 
 
@@ -257,6 +260,29 @@ def _(spark, sf):
                       "early_buyer_risk", "dev_risk", "overall_risk", "confidence", "confidence_level", "classification", "risk_level", "verdict", F.array_join("warnings", "; ").alias("warnings"))
 
 
+SCAN_HOLDERS = """r AS (SELECT *, CASE provider WHEN 'helius' THEN 0 WHEN 'solscan' THEN 1 ELSE 2 END AS p FROM holders WHERE amount > 0),
+b AS (SELECT mint, min(p) AS p FROM r GROUP BY ALL), kept AS (SELECT mint, owner, amount FROM r JOIN b USING (mint, p) JOIN launches USING (mint) WHERE owner NOT IN (SELECT address FROM entities))"""
+
+
+@query("scan_holders", "holders", "entities", "launches", sql=f"""WITH {SCAN_HOLDERS}
+SELECT * FROM (SELECT mint, owner, amount, row_number() OVER (PARTITION BY mint ORDER BY amount DESC, owner)::INT AS position FROM kept) WHERE position <= 50""")
+def _(spark, sf):
+    return scan(spark, sf).holders
+
+
+@query("scan_holder_concentration", "holders", "entities", "launches", sql=f"WITH {SCAN_HOLDERS}, {CONCENTRATION}")
+def _(spark, sf):
+    out = scan(spark, sf).holder_concentration
+    return out.select("mint", "total_held", "holder_count", *r6("top_1_share", "top_5_share", "top_10_share", "gini"))
+
+
+@query("scan_windows", "tape_c", "launches", sql="""
+WITH f AS (SELECT mint, wallet, min(CASE WHEN block_time - created_at IS NOT NULL THEN greatest(0, block_time - created_at) END) AS s FROM tape LEFT JOIN launches USING (mint) WHERE is_buy AND tx_success GROUP BY ALL)
+SELECT mint, """ + ", ".join(f"count(*) FILTER (WHERE s <= {limit}) AS {name}" for name, limit in P.WINDOWS.items()) + " FROM f GROUP BY mint")
+def _(spark, sf):
+    return scan(spark, sf).windows
+
+
 @query("bundle_detail")
 def _(spark, sf):
     out = bundle_detail(scan(spark, sf))
