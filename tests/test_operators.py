@@ -146,6 +146,19 @@ def test_mayhem_activity(spark):
     assert T.mayhem_separation(rows, flags).first().activity == 50
 
 
+def test_mayhem_activity_at_a_half(spark):
+    # 23 of 40 is 57.5 %: rounded half to even it is 58, but 23 / 40 * 100 is 57.49999999999999
+    rows = tape(spark, *[trade(f"w{i}", i, mayhem=i < 23) for i in range(40)])
+    flags = launch(spark).withColumn("is_mayhem", F.lit(False))
+    assert T.mayhem_separation(rows, flags).first().activity == 58
+
+
+def test_mayhem_of_a_launch_listed_twice(spark):
+    rows = tape(spark, *[trade(f"w{i}", i, mayhem=i < 1) for i in range(4)])
+    flags = spark.createDataFrame([("m", T0, False), ("m", T0, False), ("m", T0, True)], "mint string, created_at long, is_mayhem boolean")
+    assert sorted(r.trades for r in T.mayhem_separation(rows, flags).collect()) == [4, 8]
+
+
 def random_parts(seed, wallets=30, mints=40, bot=True):
     rng = random.Random(seed)
     parts = {(f"w{rng.randrange(wallets)}", f"m{rng.randrange(mints)}") for _ in range(260)}
