@@ -53,13 +53,15 @@ def wallet_activity(trades: DataFrame, listed: int = 12) -> DataFrame:
 
 def launch_profile(launches: DataFrame, trades: DataFrame, as_of: int) -> DataFrame:
     """Token facts: pair, curve, mayhem, graduation, lifecycle."""
-    state = T.lifecycle(launches, trades, as_of)
-    mayhem = T.mayhem_separation(trades, launches).select("mint", F.col("enabled").alias("mayhem_enabled"), F.col("activity").alias("mayhem_activity"))
-    facts = launches.select(
-        "mint", "creator", "name", "symbol", "created_at", S.resolve_pair(F.col("quote_mint")).alias("pair"), S.quote_decimals(F.col("quote_mint")).alias("decimals"),
+    flagged = trades.groupBy("mint").agg(F.count(F.when(F.col("mayhem"), 1)).alias("_flagged"))
+    facts = [
+        "creator", "name", "symbol", "created_at", S.resolve_pair(F.col("quote_mint")).alias("pair"), S.quote_decimals(F.col("quote_mint")).alias("decimals"),
         F.coalesce("curve_complete", F.lit(False)).alias("graduated"), "graduated_at", "pool", (F.col("graduated_at") - F.col("created_at")).alias("time_to_graduation"),
-    )
-    return facts.join(state, "mint").join(mayhem, "mint")
+        (F.coalesce("is_mayhem", F.lit(False)) | (F.coalesce("_flagged", F.lit(0)) > 0)).alias("mayhem_enabled"), F.coalesce("_flagged", F.lit(0)).alias("_flagged"),
+    ]
+    # one pass over the rows of launches: a join on the mint would multiply launches that are listed twice
+    out = T.lifecycle(launches.join(flagged, "mint", "left"), trades, as_of, facts)
+    return out.withColumn("mayhem_activity", T.mayhem_activity(F.col("mayhem_enabled"), F.col("_flagged"), F.col("trades"))).drop("_flagged")
 
 
 # --- origin and graduation ----------------------------------------------------------------------

@@ -159,6 +159,16 @@ def test_mayhem_of_a_launch_listed_twice(spark):
     assert sorted(r.trades for r in T.mayhem_separation(rows, flags).collect()) == [4, 8]
 
 
+def test_profile_of_a_launch_listed_twice(spark):
+    from mintweave.plans import summaries as U
+
+    rows = tape(spark, *[trade(f"w{i}", i, mayhem=i < 1) for i in range(4)])
+    schema = "mint string, creator string, name string, symbol string, created_at long, quote_mint string, curve_complete boolean, graduated_at long, pool string, is_mayhem boolean, real_token_reserves long, initial_real_tokens long"
+    made = [("m", c, c, c, T0, None, False, None, None, False, 1, 2) for c in ("a", "b")]
+    got = U.launch_profile(spark.createDataFrame(made, schema), rows, T0 + 10).collect()
+    assert sorted((r.creator, r.trades, r.mayhem_enabled, r.mayhem_activity) for r in got) == [("a", 4, True, 25), ("b", 4, True, 25)]
+
+
 def random_parts(seed, wallets=30, mints=40, bot=True):
     rng = random.Random(seed)
     parts = {(f"w{rng.randrange(wallets)}", f"m{rng.randrange(mints)}") for _ in range(260)}
