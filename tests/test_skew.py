@@ -43,6 +43,28 @@ def test_last_before(spark, width, lookback):
         assert got[p] == (before[-1][3] if before else None, any(r[0] == k for r in rows))
 
 
+@pytest.mark.parametrize("heavy", [0, 100, 10_000])
+def test_last_before_with_and_without_heavy_keys(spark, heavy):
+    rows = [(k, t, 0, i) for k, t, _, i in hot_rows(300, 7)]
+    probes = [*((k, t, 0, i) for k, t, _, i in hot_rows(150, 11)), ("nobody", 5, 0, -1), (None, 5, 0, -2)]
+    left = spark.createDataFrame(probes, "k string, t long, slot long, p int")
+    right = spark.createDataFrame([(*r, r[3] * 2) for r in rows], "k string, t long, slot long, i int, more int")
+    out = skew.last_before(left, right, on="k", order=["t", "slot"], ties=["i"], payload=["i", "t", "more"], width=50, heavy=heavy)
+    assert out.columns == [*left.columns, "hit", "_seen_any"]
+    got = {r.p: (tuple(r.hit) if r.hit else None, r._seen_any) for r in out.collect() if r.k is not None}
+    for k, t, _, p in probes[:-1]:
+        before = max(((r[1], r[3]) for r in rows if r[0] == k and r[1] < t), default=None)
+        assert got[p] == (before and (before[1], before[0], before[1] * 2), any(r[0] == k for r in rows))
+
+
+def test_ordinary_keys_cross_one_exchange(spark):
+    left = spark.createDataFrame([("a", 5, 0, 1)], "k string, t long, slot long, p int")
+    right = spark.createDataFrame([("a", 3, 0, 1)], "k string, t long, slot long, i int")
+    out = skew.last_before(left, right, on="k", order=["t", "slot"], ties=["i"], payload=["i"])
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
 def test_exact_percentiles_on_a_large_group(spark):
     rng = random.Random(1)
     values = [round(rng.expovariate(0.1), 3) for _ in range(9000)] + [5.0] * 3000
