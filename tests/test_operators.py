@@ -169,6 +169,18 @@ def test_profile_of_a_launch_listed_twice(spark):
     assert sorted((r.creator, r.trades, r.mayhem_enabled, r.mayhem_activity) for r in got) == [("a", 4, True, 25), ("b", 4, True, 25)]
 
 
+@pytest.mark.parametrize("crowded", [0, 15, 1000])
+def test_behaviour_neighbours_of_small_and_crowded_launches(spark, crowded):
+    from mintweave.operators import graph as G
+
+    rng = random.Random(3)
+    rows = [(m, f"w{i}", i, *(rng.uniform(0, 1.2) for _ in G.FEATURES)) for m, n in (("small", 9), ("large", 30)) for i in range(n)]
+    table = spark.createDataFrame(rows, "mint string, wallet string, position int, " + ", ".join(f"{f} double" for f in G.FEATURES))
+    got = sorted(tuple(r) for r in G.behaviour_neighbours(table, crowded=crowded).collect())
+    near = [(x[0], x[1], y[1]) for x in rows for y in rows if x[0] == y[0] and sum((p - q) ** 2 for p, q in zip(x[3:], y[3:])) <= 0.75**2]
+    assert got == sorted(near)
+
+
 def random_parts(seed, wallets=30, mints=40, bot=True):
     rng = random.Random(seed)
     parts = {(f"w{rng.randrange(wallets)}", f"m{rng.randrange(mints)}") for _ in range(260)}
