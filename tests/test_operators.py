@@ -204,6 +204,13 @@ def test_overlap_pairs_match_brute_force(spark, hot):
     assert got == pytest.approx(want)
 
 
+@pytest.mark.parametrize("hot, crowded", [(3, 0), (1000, 0), (10, 8), (1000, 8)])
+def test_overlap_pairs_are_the_same_on_small_and_crowded_launches(spark, hot, crowded):
+    df = spark.createDataFrame(sorted(random_parts(4)), "wallet string, mint string")
+    whole, split = (sorted(H.wallet_overlap_pairs(df, df, hot, n).collect()) for n in (10_000, crowded))
+    assert whole == split and len(whole) > 100
+
+
 @pytest.mark.parametrize("k, hot", [(1, 5), (2, 5), (3, 5), (3, 20), (3, 1000)])
 def test_recurring_groups_match_brute_force(spark, k, hot):
     parts = random_parts(8)
