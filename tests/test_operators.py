@@ -220,6 +220,13 @@ def test_recurring_groups_match_brute_force(spark, k, hot):
     assert {(r.mint, r.other_mint): r.wallets for r in H.recurring_groups(df, df, k, hot).collect()} == want
 
 
+@pytest.mark.parametrize("k, hot, crowded", [(1, 1000, 0), (3, 1000, 0), (3, 5, 8), (2, 1000, 8), (3, 1000, 8)])
+def test_recurring_groups_are_the_same_on_small_and_crowded_launches(spark, k, hot, crowded):
+    df = spark.createDataFrame(sorted(random_parts(8)), "wallet string, mint string")
+    whole, split = (sorted(H.recurring_groups(df, df, k, hot, n).collect()) for n in (10_000, crowded))
+    assert whole == split and len(whole) > 10
+
+
 @pytest.mark.parametrize("threshold", [0.3, 0.6])
 def test_recurring_clusters(spark, threshold):
     shape = ("small", "single_funder", "high", "high", "low")
