@@ -293,6 +293,27 @@ def test_recurring_clusters_match_brute_force(spark, hot):
     assert got == {k: (len(v), round(max(v.values()), 9)) for k, v in want.items()}
 
 
+@pytest.mark.parametrize("crowded, hot", [(3, 10_000), (4, 5), (32, 10_000)])
+def test_recurring_clusters_of_every_size_match_brute_force(spark, crowded, hot):
+    """Clusters of one, two and more than ``crowded`` members meet the others too, and only two wallets or the shape pair the rest."""
+    rng = random.Random(21)
+    rows = []
+    for i in range(60):
+        members = sorted({f"w{rng.randrange(14)}" for _ in range(rng.choice([1, 2, 3, 4, 5, 8]))})
+        rows.append((f"m{i % 40}", i, "small", rng.choice("xy"), rng.choice("xy"), "high", "low", "h", members))
+    df = spark.createDataFrame(rows, "mint string, cluster_id int, size_bucket string, topology string, timing_bucket string, purchase_bucket string, age_bucket string, members_hash string, members array<string>")
+    want = {}
+    for x, y in itertools.permutations(rows, 2):
+        both = len(set(x[8]) & set(y[8]))
+        sim = 0.6 * both / min(len(x[8]), len(y[8])) + 0.4 * sum(p == q for p, q in zip(x[2:7], y[2:7])) / 5
+        if x[0] != y[0] and both and sim >= 0.6 - 1e-12:
+            found = want.setdefault((x[0], x[1]), {})
+            found[y[0]] = max(sim, found.get(y[0], 0))
+    assert len({len(x[8]) for x in rows}) > 5
+    got = {(r.mint, r.cluster_id): (r.matches, round(r.best_similarity, 9)) for r in H.match_recurring(df, df, 0.6, hot_degree=hot, crowded=crowded).collect()}
+    assert got == {k: (len(v), round(max(v.values()), 9)) for k, v in want.items()}
+
+
 def test_components_match_union_find(spark):
     rng = random.Random(6)
     edges = [("m", f"n{rng.randrange(90)}", f"n{rng.randrange(90)}") for _ in range(60)] + [("m", f"p{i}", f"p{i + 1}") for i in range(30)]
