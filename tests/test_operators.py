@@ -254,6 +254,26 @@ def test_recurring_clusters_by_shape_alone(spark, threshold):
     assert {r.mint: (r.matches, round(r.best_similarity, 9)) for r in H.match_recurring(df, df, threshold).collect()} == want
 
 
+@pytest.mark.parametrize("heavy", [0, 3, 10**6])
+def test_newest_inflows_match_brute_force(spark, heavy):
+    """Equal times, doubled transfers and keys of any size: one event per (time, slot, signature, source), newest first."""
+    rng = random.Random(8)
+    buys = [(f"m{i}", rng.choice(["a", "b", "c", None]), rng.randrange(12), 0) for i in range(30)]
+    sent = [(f"s{rng.randrange(3)}", rng.choice(["a", "b", "d", None]), float(rng.randrange(3)), f"x{rng.randrange(2)}", rng.randrange(12), rng.randrange(2)) for _ in range(60)]
+    first = spark.createDataFrame(buys, "mint string, wallet string, block_time long, slot long")
+    money = spark.createDataFrame(sent + sent[:20], "source string, recipient string, amount double, signature string, block_time long, slot long")
+    want = set()
+    for mint, wallet, time, slot in buys:
+        events = {}
+        for source, recipient, amount, signature, t, s in sent:
+            if wallet is not None and recipient == wallet and (t, s) < (time, slot):
+                events[t, s, signature, source] = max(amount, events.get((t, s, signature, source), 0.0))
+        for k, (key, amount) in enumerate(sorted(events.items(), reverse=True)[:3]):
+            want.add((mint, wallet, *key, amount, k + 1))
+    got = [(r.mint, r.wallet, r.block_time, r.slot, r.signature, r.source, r.amount, r.event) for r in G.funding_events(first, money, width=4, heavy=heavy).collect()]
+    assert len(got) == len(want) and set(got) == want and {g[-1] for g in got} == {1, 2, 3}
+
+
 def test_no_hidden_buyer_limit(spark):
     """A launch of 150 buyers is numbered whole, and sponsor groups follow the limit given."""
     rows = [trade(f"w{i:03d}", i, payer="boss" if i >= 110 else None) for i in range(150)]
