@@ -25,6 +25,8 @@ BUCKETS = 1 << 15
 ROUNDS = 12
 #: Texts are handled in steps of this many bytes.
 STEP = 1 << 19
+#: The same for proportions, whose arrays hold every language of every trigram.
+MIX_STEP = 1 << 17
 
 
 def trigrams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -129,7 +131,7 @@ class Identifier:
         langs = len(self.names)
         shares = np.full((batch.num_rows, langs), 1 / max(langs, 1), np.float32)
         best = np.full(batch.num_rows, self.usual)
-        for at, end, data, offsets in C.text_steps(batch, text, STEP):
+        for at, end, data, offsets in C.text_steps(batch, text, MIX_STEP):
             with np.errstate(over="ignore"):
                 bucket, inside = trigrams(data, offsets)
             if not langs or not inside.any():
@@ -176,8 +178,10 @@ def accepted(docs: DataFrame, counts: dict[str, np.ndarray], share: float, text:
     model = Identifier(counts)
 
     @F.arrow_udf("boolean")
-    def clear(texts: pa.Array) -> pa.Array:
-        return pa.array(model.of(pa.RecordBatch.from_arrays([texts], ["text"]), "text")[1] >= share)
+    def clear(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            yield pa.array(model.of(pa.RecordBatch.from_arrays([texts], ["text"]), "text")[1] >= share)
+        C.released()
 
     # Only the text leaves the JVM, and one truth value comes back.
     lettered = C.bounded(docs).filter(_lettered(text))

@@ -207,10 +207,12 @@ def accepted(docs: DataFrame, model: Model, text: str = "text", threshold: float
         return docs
 
     @F.arrow_udf("boolean")
-    def harmless(texts: pa.Array) -> pa.Array:
-        below = model.score(_margins_of(pa.RecordBatch.from_arrays([texts], ["text"]), "text", model.weights, model.bias)) < threshold
-        said = pc.match_substring_regex(texts, r"[^\x20\x09-\x0D]")
-        return pc.or_(pa.array(below), pc.invert(pc.fill_null(said, False)))
+    def harmless(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            below = model.score(_margins_of(pa.RecordBatch.from_arrays([texts], ["text"]), "text", model.weights, model.bias)) < threshold
+            said = pc.match_substring_regex(texts, r"[^\x20\x09-\x0D]")
+            yield pc.or_(pa.array(below), pc.invert(pc.fill_null(said, False)))
+        C.released()
 
     # Only the text leaves the JVM, and one truth value comes back.
     return C.bounded(docs).filter(harmless(F.col(text)))

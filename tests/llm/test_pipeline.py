@@ -68,3 +68,13 @@ def test_bound_counts_documents(spark):
     docs = spark.createDataFrame([(k, "text") for k in range(20)], "doc_id long, text string")
     marks = spark.createDataFrame([(k, 0) for k in range(2000)], "doc_id long, toxic int")
     assert toxicity.labelled_sample(docs, marks, max_texts=20).count() == 20
+
+
+def test_languages_do_not_depend_on_the_step(spark, monkeypatch):
+    """Proportions are made in steps of their own, smaller ones than the counts: each text alone decides its language."""
+    rows = [(i, "the cat sat on the mat again " * 3 if i % 2 else "der hund und die katze sind hier " * 3, "en" if i % 2 else "de") for i in range(40)]
+    docs = spark.createDataFrame([*rows, (40, None, None), (41, "12 34", None)], "doc_id long, text string, lang string")
+    counts = langmix.profiles(docs)
+    assert sorted(r.doc_id for r in langmix.accepted(docs, counts, 0.5).collect()) == list(range(40))
+    monkeypatch.setattr(langmix, "MIX_STEP", 64)
+    assert sorted(r.doc_id for r in langmix.accepted(docs, counts, 0.5).collect()) == list(range(40))
