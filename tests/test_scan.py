@@ -129,3 +129,8 @@ def test_two_scans_in_a_row_know_the_crew(spark, scan, tmp_path):
 
 def test_nothing_remembered(spark, tmp_path):
     assert cluster_memory(spark, str(tmp_path / "never")).count() == 0
+
+
+def test_tape_and_payments_are_written_once():
+    assert Scan.all_trades.stored and Scan.transfers.stored
+    assert "transfers" in Scan.needs("funding") & Scan.needs("paths") & Scan.needs("creator_money")

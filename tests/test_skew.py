@@ -23,6 +23,28 @@ def test_ordered_position(spark, width):
         assert [got[r[3]] for r in ordered] == list(range(len(ordered)))
 
 
+@pytest.mark.parametrize("heavy", [0, 60, 500_000])
+def test_shadowed_rows_do_not_count_towards_the_look_back(spark, heavy):
+    rng = random.Random(9)
+    usable = [(k, t, 0, i, True) for k, t, _, i in hot_rows(200, 7)]
+    told = [(k, rng.randrange(0, 40) * 10, 0, i, False) for k, _, _, i, _ in usable]
+    alone = [(k, t, 0, 1000 + i, False) for k, t, _, i in hot_rows(150, 8)]
+    probes = [(k, t, 0, i) for k, t, _, i in hot_rows(120, 11)] + [("nobody", 5, 0, -1)]
+    left = spark.createDataFrame(probes, "k string, t long, slot long, p int")
+    right = spark.createDataFrame(usable + told + alone, "k string, t long, slot long, i int, ok boolean")
+    from pyspark.sql import functions as F
+
+    out = skew.last_before(
+        left, right, on="k", order=["t", "slot"], ties=["i"], payload=["i"], usable=F.col("ok"), lookback=3, shadow="i", width=50, heavy=heavy
+    )
+    got = {r.p: (r.hit.i if r.hit else None, r._seen_any) for r in out.collect()}
+    rows = usable + alone
+    for k, t, _, p in probes:
+        before = sorted((r for r in rows if r[0] == k and r[1] < t), key=lambda r: (r[1], r[3]))
+        hits = [r[3] for r in before[-3:] if r[4]]
+        assert got[p] == (hits[-1] if hits else None, any(r[0] == k for r in rows)), (k, t)
+
+
 @pytest.mark.parametrize("width", [1, 50, 10_000])
 @pytest.mark.parametrize("lookback", [None, 1, 4])
 def test_last_before(spark, width, lookback):
