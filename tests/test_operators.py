@@ -458,3 +458,22 @@ def test_history_leaves_the_launch_out(spark):
     rows = tape(spark, *[trade("w", i, mint=f"m{i % 3}", sig=f"s{i}") for i in range(9)])
     got = {r.mint: (r.launches, r.trades) for r in W.wallet_history(T.first_buys(rows), W.participation(rows)).collect()}
     assert got == {f"m{i}": (2, 6) for i in range(3)}
+
+
+def test_routes_need_no_amounts_and_no_root_kinds(spark):
+    sent = spark.createDataFrame(
+        [("r", "f", "SOL", 3.0, "s1", 10, 1), ("f", "w", "SOL", 2.0, "s2", 20, 2), ("g", "v", "SOL", 1.0, "s3", 30, 3)],
+        "source string, recipient string, asset string, amount double, signature string, block_time long, slot long",
+    )
+    first = spark.createDataFrame([("m", "w", 50, 5), ("m", "v", 60, 6), ("m", "x", 70, 7)], "mint string, wallet string, block_time long, slot long")
+    known = spark.createDataFrame([], "address string, label string, entity_type string, source string, confidence double, verify boolean")
+    found, narrow = (M.asof_funding(first, M.money(sent, columns)) for columns in (M.MONEY, M.ROUTE))
+    route = ["mint", "wallet", "direct_funder", "funding_time", "funding_slot", "funding_signature", "found"]
+    assert sorted(found.select(*route).collect()) == sorted(narrow.select(*route).collect())
+    assert narrow.columns == found.columns and narrow.filter("funding_amount is not null").isEmpty()
+    judged = M.assess_sources(M.funder_members(found), known)
+    whole = M.funding_paths(found, M.money(sent), judged, max_hops=4)
+    bare = M.funding_paths(narrow, M.money(sent, M.ROUTE), judged, max_hops=4, kinds=False)
+    assert "root_type" not in bare.columns
+    assert {(r.wallet, tuple(r.path), r.hops) for r in bare.collect()} == {("w", ("r", "f", "w"), 2), ("v", ("g", "v"), 1)}
+    assert sorted(whole.drop("root_type").collect()) == sorted(bare.collect())
