@@ -387,6 +387,17 @@ def test_components_match_union_find(spark):
     assert all(c == min(members) for c, members in got.items())
 
 
+def test_components_step_over_numbers_and_keep_launches_apart(spark, monkeypatch):
+    written = []
+    real = G.cut
+    monkeypatch.setattr(G, "cut", lambda df, name="step": (written.append((name, [f.dataType.typeName() for f in df.schema])), real(df, name))[1])
+    edges = [("m", "b", "Z"), ("m", "é", "b"), ("k", "b", "a"), ("k", "b", "b"), ("k", "hub", "c")] + [("k", f"w{i}", "hub") for i in range(50)]
+    got = {(r.mint, r.wallet): r.component for r in G.connected_components(spark.createDataFrame(edges, "mint string, src string, dst string")).collect()}
+    want = {("m", x): "Z" for x in ("Z", "b", "é")} | {("k", x): "a" for x in "ab"} | {("k", x): "c" for x in ("c", "hub", *(f"w{i}" for i in range(50)))}
+    assert got == want
+    assert all(kinds == ["long", "long"] for name, kinds in written if name == "stars")  # no round carries names
+
+
 def test_communities_find_two_cliques(spark):
     clique = lambda names: [("m", a, b, 1.0) for a, b in itertools.combinations(names, 2)]
     edges = spark.createDataFrame(clique("abcd") + clique("efgh") + [("m", "d", "e", 0.1)], "mint string, src string, dst string, weight double")
