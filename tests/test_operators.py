@@ -398,6 +398,17 @@ def test_components_step_over_numbers_and_keep_launches_apart(spark, monkeypatch
     assert all(kinds == ["long", "long"] for name, kinds in written if name == "stars")  # no round carries names
 
 
+def test_bundle_context_without_exits_and_shared_transactions(spark):
+    members = spark.createDataFrame([("m", 1, "a"), ("m", 1, "b"), ("m", 2, "c"), ("n", 1, "a")], "mint string, cluster_id long, wallet string")
+    facts = spark.createDataFrame([("m", "a", 10.0, True), ("m", "b", 9999.0, False), ("m", "c", 10.0, True)], "mint string, wallet string, age_seconds double, observed boolean")
+    infra = spark.createDataFrame([("m", "x", "a"), ("m", "x", "b"), ("m", "x", "c")], "mint string, source string, wallet string")
+    trades = spark.createDataFrame([("m", True), ("m", False), ("m", None), ("m", False)], "mint string, mayhem boolean")
+    got = {(r.mint, r.cluster_id): r for r in K.bundle_context(members, facts, T.flagged_trades(trades), infra).collect()}
+    assert set(got[("m", 1)].asDict()) == {"mint", "cluster_id", "fresh_share", "unobserved_share", "funder_is_infrastructure", "mayhem_share"}
+    values = {k: (r.fresh_share, r.unobserved_share, r.funder_is_infrastructure, r.mayhem_share) for k, r in got.items()}
+    assert values == {("m", 1): (0.5, 0.5, True, 0.25), ("m", 2): (1.0, 0.0, False, 0.25), ("n", 1): (0.0, 1.0, False, 0.0)}
+
+
 def test_communities_find_two_cliques(spark):
     clique = lambda names: [("m", a, b, 1.0) for a, b in itertools.combinations(names, 2)]
     edges = spark.createDataFrame(clique("abcd") + clique("efgh") + [("m", "d", "e", 0.1)], "mint string, src string, dst string, weight double")
