@@ -29,3 +29,14 @@ def con():
 @pytest.mark.parametrize("name", SAMPLE)
 def test_sample(spark, con, name):
     assert compare(queries()[name](spark, SMALL), con, oracle_sql()[name]) is None
+
+
+def test_groups_write_payments_without_amounts(spark, monkeypatch):
+    from mintweave.catalog.graph import groups
+    from mintweave.operators import funding as M
+
+    written = {}
+    real = M.cut
+    monkeypatch.setattr(M, "cut", lambda df, name="step": (written.setdefault(name, df.columns), real(df, name))[1])
+    groups(spark, SMALL)
+    assert written["money"] == ["source", "recipient", "signature", "block_time", "slot"]
