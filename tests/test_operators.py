@@ -499,3 +499,59 @@ def test_routes_need_no_amounts_and_no_root_kinds(spark):
     assert "root_type" not in bare.columns
     assert {(r.wallet, tuple(r.path), r.hops) for r in bare.collect()} == {("w", ("r", "f", "w"), 2), ("v", ("g", "v"), 1)}
     assert sorted(whole.drop("root_type").collect()) == sorted(bare.collect())
+
+
+def _drawn(spark):
+    rows = [trade("a", 1, sig="t1"), trade("a", 2, sig="t2", buy=False, quote=2.0), trade("b", 3, sig="t3"), trade("c", 4, sig="t4", buy=False)]
+    df = tape(spark, *rows)
+    buyers = T.buyers_with_positions(df, ("block_time", "slot", "quote_amount"))
+    sent = [("f", "a", 9.0, "s1", T0 - 9, 0), ("f", "a", 9.0, "s1", T0 - 8, 0), ("g", "f", 5.0, "s0", T0 - 20, 0), ("a", "b", 1.0, "s2", T0 + 1, 0), (None, "b", 1.0, "s3", T0 - 1, 0)]
+    money = spark.createDataFrame(sent, "source string, recipient string, amount double, signature string, block_time long, slot long")
+    return df, buyers, G.wallet_inflows(buyers, money)
+
+
+def test_edges_count_a_transaction_once_and_look_up_steps_into_buyers(spark):
+    df, buyers, inflows = _drawn(spark)
+    profiles = buyers.select("mint", "wallet")
+    creators = spark.createDataFrame([("m", "z", "y", 3.0)], "mint string, creator string, funding_source string, funding_amount double")
+    paths = spark.createDataFrame([("m", ["g", "f", "a"]), ("m", ["f", "a", "b"]), ("m", ["q", "b"])], "mint string, path array<string>")
+    none = spark.createDataFrame([], "mint string, owner string, amount double")
+    common = {
+        ("a", "m", "buy:t1", "BOUGHT", 1.0), ("a", "m", "sell:t2", "SOLD", 2.0), ("b", "m", "buy:t3", "BOUGHT", 1.0), ("z", "m", "created", "CREATED", None),
+        ("y", "z", "fund:z", "FUNDED", 3.0), ("f", "a", "fund:s1", "FUNDED", 9.0), ("a", "b", "fund:s2", "FUNDED", 1.0), ("g", "f", "fund:f", "FUNDED", None),
+    }
+    for told, more in ((True, set()), (False, {("q", "b", "fund:b", "FUNDED", None)})):
+        out = G.graph_edges(df, profiles, creators, inflows, paths, none, told)
+        got = [(r.src, r.dst, r.key, r.relation, r.amount) for r in out.collect()]
+        assert len(got) == len(set(got)) and set(got) == common | more
+
+
+def test_newest_inflow_starts_the_paths(spark):
+    _, _, inflows = _drawn(spark)
+    got = {(r.wallet, r.direct_funder, r.funding_amount, r.funding_time) for r in G.newest_funder(inflows).collect()}
+    assert got == {("a", "f", 9.0, T0 - 8), ("b", "a", 1.0, T0 + 1)}
+
+
+def test_simple_view_names_every_relation_and_refuses_others(spark):
+    rows = [("m", "a", "m", r, 9.0) for r in ("SOLD", "BOUGHT", "BOUGHT")] + [("m", "m", "a", "HOLDS", None), ("m", "z", "m", None, None)]
+    kind = "mint string, src string, dst string, relation string, amount double"
+    got = {(r.a, r.b): (r.weight, r.relations) for r in G.graph_simple_view(spark.createDataFrame(rows, kind)).collect()}
+    assert got == {("a", "m"): (7.0, ["BOUGHT", "HOLDS", "SOLD"]), ("m", "z"): (1.0, [])}
+    with pytest.raises(Exception, match="unknown relation LENT"):
+        G.graph_simple_view(spark.createDataFrame([("m", "a", "b", "LENT", 1.0)], kind)).collect()
+
+
+def test_export_holds_nodes_edges_and_clusters_with_their_attributes(spark):
+    """The export once held the nodes alone, without money, first buy and time."""
+    from mintweave.sources import exports
+
+    nodes = spark.createDataFrame([("m", "wallet-a", "buyer", 200.0, 7, "wallet", "BUYER", None, 1.5, 60.0)],
+                                  "mint string, node string, category string, size double, risk int, role string, entity_type string, label string, sol_balance double, age_seconds double")
+    edges = spark.createDataFrame([("m", "m", "wallet-a", 2.00049, ["BOUGHT", "SOLD"])], "mint string, a string, b string, weight double, relations array<string>")
+    wallets = spark.createDataFrame([("m", "wallet-a", 2, 4.0, 1.25, 3.0)], "mint string, wallet string, cluster_id int, funding_amount double, quote_amount double, seconds_after_launch double")
+    members = spark.createDataFrame([("m", 1, "wallet-a", 50), ("m", 2, "wallet-a", 60)], "mint string, cluster_id int, wallet string, score int")
+    got = {(r.part, r.node, r.cluster): r.asDict() for r in exports.export_graph(nodes, edges, wallets, members).collect()}
+    assert set(got) == {("node", "wallet-a", 2), ("edge", "m", None), ("cluster", "wallet-a", 1), ("cluster", "wallet-a", 2)}
+    node, edge = got["node", "wallet-a", 2], got["edge", "m", None]
+    assert (node["sol_balance"], node["age_seconds"], node["funding_amount"], node["first_buy_amount"], node["seconds_after_launch"], node["size"]) == (1.5, 60.0, 4.0, 1.25, 3.0, 5.0)
+    assert (edge["other"], edge["weight"], edge["relations"]) == ("wallet-a", 2.0, "BOUGHT,SOLD") and got["cluster", "wallet-a", 2]["score"] == 60
