@@ -12,6 +12,7 @@ from mintweave.operators import execution as X
 from mintweave.operators import funding as M
 from mintweave.operators import graph as G
 from mintweave.operators import history as H
+from mintweave.operators import launchwise as L
 from mintweave.operators import scoring as R
 from mintweave.operators import sells as Z
 from mintweave.operators import store as D
@@ -555,3 +556,53 @@ def test_export_holds_nodes_edges_and_clusters_with_their_attributes(spark):
     node, edge = got["node", "wallet-a", 2], got["edge", "m", None]
     assert (node["sol_balance"], node["age_seconds"], node["funding_amount"], node["first_buy_amount"], node["seconds_after_launch"], node["size"]) == (1.5, 60.0, 4.0, 1.25, 3.0, 5.0)
     assert (edge["other"], edge["weight"], edge["relations"]) == ("wallet-a", 2.0, "BOUGHT,SOLD") and got["cluster", "wallet-a", 2]["score"] == 60
+
+
+def _random_graph(spark, seed):
+    rng = random.Random(seed)
+    rows = {}
+    for m in range(12):
+        for _ in range(rng.randrange(2, 40)):
+            a, b = sorted(rng.sample([f"w{i}" for i in range(14)] + ["é", "Z"], 2))
+            rows[m, a, b] = rng.choice([0.25, 0.5, 1.0, 1.5])
+    return spark.createDataFrame([(*k, w) for k, w in rows.items()], "mint long, src string, dst string, weight double")
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_launches_settled_in_a_task_equal_the_rounds_of_joins(spark, seed):
+    """All launches by joins, some, or none: the same components, communities and modularity."""
+    edges = _random_graph(spark, seed)
+    for make in (G.connected_components, G.communities):
+        want = {tuple(r) for r in make(edges, local=0).collect()}
+        for local in (20, L.LOCAL):
+            got = [tuple(r) for r in make(edges, local=local).collect()]
+            assert len(got) == len(want) and set(got) == want
+    want = {r.mint: round(r.modularity, 9) for r in G.modularity(edges, G.communities(edges, local=0)).collect()}
+    for local in (20, L.LOCAL):
+        assert {r.mint: round(r.modularity, 9) for r in G.community_modularity(edges, local=local).collect()} == want
+
+
+@pytest.mark.parametrize("pairs", [30, 10**6])
+def test_density_groups_in_a_task_equal_the_joins(spark, monkeypatch, pairs):
+    import pandas as pd
+
+    rng = random.Random(5)
+    rows = []
+    for m in range(8):
+        n = rng.randrange(3, 25)
+        rows += [(m, f"w{i:02d}", p + 1, *(rng.choice([0.0, 0.5, 1.0, 4.0]) for _ in range(5))) for p, i in enumerate(rng.sample(range(n), n))]
+    df = spark.createDataFrame(rows, "mint long, wallet string, position int, " + ", ".join(f"{f} double" for f in G.FEATURES))
+    want = {tuple(r) for r in G.behaviour_groups(df, crowded=0).collect()}
+    for crowded in (10, 1000):
+        got = [tuple(r) for r in G.behaviour_groups(df, crowded=crowded).collect()]
+        assert len(got) == len(want) and set(got) == want
+    monkeypatch.setattr(L, "PAIRS", pairs)
+    here = L.density_groups(pd.DataFrame(rows, columns=df.columns), G.FEATURES, 0.75, 3)
+    assert {tuple(r) for r in here.itertuples(index=False)} == want and {True, False} == set(here.is_core)
+
+
+def test_no_edges_and_no_buyers_give_no_rows(spark):
+    empty = spark.createDataFrame([], "mint long, src string, dst string, weight double")
+    assert G.connected_components(empty).count() == G.communities(empty).count() == G.community_modularity(empty).count() == 0
+    buyers = spark.createDataFrame([], "mint long, wallet string, position int, " + ", ".join(f"{f} double" for f in G.FEATURES))
+    assert G.behaviour_groups(buyers).count() == 0
