@@ -606,3 +606,21 @@ def test_no_edges_and_no_buyers_give_no_rows(spark):
     assert G.connected_components(empty).count() == G.communities(empty).count() == G.community_modularity(empty).count() == 0
     buyers = spark.createDataFrame([], "mint long, wallet string, position int, " + ", ".join(f"{f} double" for f in G.FEATURES))
     assert G.behaviour_groups(buyers).count() == 0
+
+
+def test_group_components_equal_those_of_all_links(spark):
+    rng = random.Random(9)
+    rows = list({(rng.randrange(6), f"s{rng.randrange(9)}", f"w{rng.randrange(20)}") for _ in range(150)})
+    members = spark.createDataFrame(rows, "mint long, source string, wallet string")
+    pairs = [(m, v, w) for m, s, v in rows for n, t, w in rows if (m, s) == (n, t) and v < w]
+    want = {tuple(r) for r in G.connected_components(spark.createDataFrame(pairs, "mint long, src string, dst string"), local=0).collect()}
+    for local in (0, 20, L.LOCAL):
+        got = [tuple(r) for r in G.group_components(members, local).collect()]
+        assert len(got) == len(want) and set(got) == want
+
+
+def test_members_of_paths_and_funders_need_no_exchange(spark):
+    paths = spark.createDataFrame([("m", "w", ["g", "f", "w"]), ("m", "v", ["f", "v"])], "mint string, wallet string, path array<string>")
+    funding = spark.createDataFrame([("m", "w", "f"), ("m", "v", None)], "mint string, wallet string, direct_funder string")
+    for df, want in ((M.intermediary_members(paths), {("m", "g", "w"), ("m", "f", "w"), ("m", "f", "v")}), (M.funder_members(funding), {("m", "f", "w")})):
+        assert {tuple(r) for r in df.collect()} == want and "Exchange" not in df._jdf.queryExecution().toString()
